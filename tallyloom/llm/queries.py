@@ -7,15 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import minmax_dedup
+from tallyloom.llm import bpe_stream, minmax_dedup
 
 
 def op1_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
 
 
+def op7_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_stream.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests_only=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minmax_near_dedup": op1_minmax_near_dedup}
+    return {
+        "op1_minmax_near_dedup": op1_minmax_near_dedup,
+        "op7_bpe_stream": op7_bpe_stream,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

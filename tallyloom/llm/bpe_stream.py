@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.scratch import text_batches
+
 # Fixed value: the splitting pattern of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Letters, numbers and white space up to U+024F, for texts that have no other characters: the same pieces, found faster.
@@ -229,6 +231,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     Null texts count as empty; special tokens in a text are encoded as such, as the library does by default.
     Output names replace input columns of the same name. No shuffle: a row depends on itself alone.
     """
+    text_batches(docs.sparkSession)
     path = path or default_vocabulary()
     made = ["n_tokens", "token_ids", "ids_sha256", "decoded_sha256"]
     keep = [id_col] if digests_only else [c for c in docs.columns if c != text_col and c not in made]

@@ -7,23 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe_stream, minmax_dedup
+from tallyloom.llm import bpe_stream, minmax_dedup, scratch, url_reputation, warc_table
 
 
 def op1_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
 
 
+def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_table.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch.new_path(spark, "warc")).drop("n_chunks")
+
+
 def op7_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), digests_only=True)
 
 
+def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minmax_near_dedup": op1_minmax_near_dedup,
+        "op5_warc_chunks": op5_warc_chunks,
         "op7_bpe_stream": op7_bpe_stream,
+        "op8_host_reputation": op8_host_reputation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc_chunks": warc_table.ORACLE_SQL, "op8_host_reputation": url_reputation.ORACLE_SQL}

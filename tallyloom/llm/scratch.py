@@ -32,6 +32,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for columns of whole texts, unless the session has its own setting.
+
+    At Spark's default of 10,000 rows a batch of long texts and its copies take a large part of an executor's memory.
+    """
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table of this application."""
     jvm = spark.sparkContext._jvm

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import words
 from tallyloom.llm.components import connected_components
-from tallyloom.llm.scratch import materialize
+from tallyloom.llm.scratch import materialize, text_batches
 
 #: Words in a shingle and percent of likeness from which documents are linked.
 WIDTH, PERCENT = 5, 80
@@ -76,8 +76,17 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {id_type}, n long, h1 long, h2 long, keys array<long>")
 
 
+#: Longs of a parity sketch: bit h of it tells whether an odd number of the set's shingles hash to h.
+SKETCH = 16
+
+
+def _sketch(values: np.ndarray) -> np.ndarray:
+    odd = np.bincount((values >> np.uint64(7)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Columns id and shingles (distinct 64-bit hashes) of a table of ids and texts."""
+    """Columns id, shingles (distinct 64-bit hashes) and sketch (SKETCH longs) of a table of ids and texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,10 +95,11 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 hashes, first, _, _ = words.word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 sets = list(words.shingle_hashes(hashes, first, width))
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32), np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["id", "shingles"])
+                sketches = pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * SKETCH, np.concatenate([_sketch(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, sketches], ["id", "shingles", "sketch"])
 
     id_type = docs.schema[docs.columns[0]].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {id_type}, shingles array<long>")
+    return docs.mapInArrow(run, f"id {id_type}, shingles array<long>, sketch array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -105,7 +115,9 @@ def _across(sets: DataFrame, of: DataFrame, percent: int) -> DataFrame:
 
     Shingles are ordered by how many of these sets hold them, rarest first; sets that are alike by ``percent`` share
     one of the first n - ceil(n * percent / 100) + 1. In each shingle's group only what lies outside its largest
-    component is paired with the rest, so that a large group of copies is not paired with itself.
+    component is paired with the rest, so that a large group of copies is not paired with itself. A pair leaves the
+    join only if the bits in which its parity sketches differ, which are never more than the shingles in which the sets
+    differ, are no more than ``percent`` allows.
     """
     rows = sets.join(of, "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
     shared = rows.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("c > 1")
@@ -114,10 +126,12 @@ def _across(sets: DataFrame, of: DataFrame, percent: int) -> DataFrame:
     alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))
     length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     prefix = held.withColumn("place", place + alone).where(F.col("place") <= length).where("lo <> hi").select("t", "id", "component", "n")
-    prefix = materialize(prefix, "minmax-prefix")
+    parts = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
+    prefix = materialize(prefix.join(sets.select("id", *parts), "id"), "minmax-prefix")
     main = prefix.groupBy("t", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max(F.struct("c", "component")).alias("most"))
-    outside = prefix.join(main, "t").where("component <> most.component").select("t", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    near = (F.col("ca") != F.col("component")) & (100 * F.least("na", "n") >= percent * F.greatest("na", "n"))
+    outside = prefix.join(main, "t").where("component <> most.component").select("t", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *[F.col(f"s{k}").alias(f"o{k}") for k in range(SKETCH)])
+    apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"o{k}"))) for k in range(SKETCH)), F.lit(0))
+    near = (F.col("ca") != F.col("component")) & (100 * F.least("na", "n") >= percent * F.greatest("na", "n")) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("n")))
     return outside.join(prefix, "t").where(near).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
@@ -128,6 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are linked with nothing. Rows without an id are linked with nothing either: their component_id is null and they are
     kept. Rows that repeat an id are one node, which has the links of all its texts. An empty table gives an empty table.
     """
+    text_batches(docs.sparkSession)
     signed = materialize(signatures(docs, id_col, text_col, width, bands, rows), "minmax-signatures")
     full = signed.where("n > 0 AND id IS NOT NULL")
     classes = materialize(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "minmax-classes")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe_stream, hd_language, mil_quality, minmax_dedup, packing, quartile_digest, scratch, spaced_seeds, url_reputation, warc_table
+from tallyloom.llm import bpe_stream, hd_language, mil_quality, minmax_dedup, packing, quartile_digest, scratch, spaced_seeds, suffix_dedup, url_reputation, warc_table
 
 
 def op1_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quartile_digest.compare_with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
 def op4_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.grade(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minmax_near_dedup": op1_minmax_near_dedup,
         "op2_quartile_digest": op2_quartile_digest,
+        "op3_suffix_groups": op3_suffix_groups,
         "op4_mil_quality": op4_mil_quality,
         "op5_warc_chunks": op5_warc_chunks,
         "op6_hd_language": op6_hd_language,

@@ -45,7 +45,8 @@ def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     hashes, _, starts, ends = words.word_hashes(data, offsets)
     if len(hashes):
         of = passage[starts]
-        number = np.maximum(1, np.bincount(of, minlength=n))
+        found = np.bincount(of, minlength=n)
+        number = np.maximum(1, found)
         order = np.lexsort((hashes, of))
         new = np.ones(len(order), bool)
         new[1:] = (of[order][1:] != of[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
@@ -57,7 +58,7 @@ def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
         last = data[ends - 1]
         odd = ~(((last >= 97) & (last <= 122)) | ((last >= 65) & (last <= 90)) | ((last >= 48) & (last <= 57)) | (last >= 128))
         length = np.bincount(of, weights=ends - starts, minlength=n) / number
-        out[:, _CLASSES:] = np.stack([distinct / number, most / number, np.bincount(of, weights=upper, minlength=n) / number, np.bincount(of, weights=odd, minlength=n) / number, np.log1p(length), np.log1p(number)], 1)
+        out[:, _CLASSES:] = np.stack([distinct / number, most / number, np.bincount(of, weights=upper, minlength=n) / number, np.bincount(of, weights=odd, minlength=n) / number, np.log1p(length), np.log1p(found)], 1)
     return out, first
 
 

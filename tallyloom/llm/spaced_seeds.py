@@ -20,7 +20,7 @@ from tallyloom.llm.scratch import materialize, text_batches
 
 #: Ones are compared, zeros ignored. However 4 of 20 tokens, or 3 of 15, are substituted, one of these masks finds a place (tests try all ways).
 MASKS = ("11111", "1101011", "110010101")
-#: A window of so many tokens (all, if an item has fewer) must agree in this percentage of its places.
+#: A window of so many tokens (all, if an item has fewer) must agree in this percentage of its places; those beyond an edge differ.
 #: Items of fewer than EXACT_BELOW tokens are too short for the masks to find all substitutions; they must agree in full.
 WINDOW, PERCENT, EXACT_BELOW = 20, 80, 15
 #: Bits of the table of benchmark seeds: 2 MB, however many items there are.
@@ -86,12 +86,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for shift in shifts:  # of the item's first token in the document
                 lo, hi = max(0, -shift), min(len(q), len(d) - shift)
                 same = d[lo + shift : hi + shift] == q[lo:hi]
-                if hi - lo < window:
-                    continue
+                inside = min(window, len(same))  # places of the window beyond an edge of the document or the item differ
                 sums = np.concatenate([[0], np.cumsum(same)])
-                good = np.flatnonzero(100 * (sums[window:] - sums[:-window]) >= percent * window)
+                good = np.flatnonzero(100 * (sums[inside:] - sums[: len(sums) - inside]) >= percent * window)
                 if len(good):
-                    start, end = int(good[0]), int(good[-1]) + window
+                    start, end = int(good[0]), int(good[-1]) + inside
                     found = (int(sums[end] - sums[start]), -start, lo + shift + start, lo + start, end - start)
                     best = max(best, found) if best else found
             if best:
@@ -103,7 +102,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Columns doc_id, item_id, doc_start, item_start, n_tokens and n_same: one row for each document and item that
-    overlap, with the place (in tokens) of the best run of windows that agree in PERCENT of their places.
+    overlap, with the place (in tokens) of the best run of windows that agree in PERCENT of their places. A window may reach
+    over an edge of the document or the item: the tokens beyond it count as differing and are not part of the run.
 
     Tokens are runs of characters other than ASCII white space, with A-Z as a-z. Items of fewer than EXACT_BELOW tokens must agree in full, those of
     fewer than five overlap with nothing, nor do null or empty texts, or rows without an id. Rows that repeat an id count as versions of

@@ -54,6 +54,16 @@ def test_against_all_shifts(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _ in docs if i not in leaked), key=str)
 
 
+def test_passages_cut_by_an_edge(spark):
+    long, short = [f"a{k}" for k in range(40)], [f"b{k}" for k in range(15)]
+    other = [f"z{k}" for k in range(30)]
+    docs = {1: other + long[:16], 2: long[-17:] + other, 3: long[10:26], 4: other + short[:14], 5: short[3:] + other, 6: other + long[:15], 7: other + short[:11], 8: long[:10] + ["zz"] + long[11:16], 9: other + long[:9] + ["zz"] + long[10:17]}
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in docs.items()], "doc_id long, text string")
+    q = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
+    got = {tuple(r) for r in spaced_seeds.overlaps(d, q).collect()}
+    assert got == {(1, 1, 30, 0, 16, 16), (2, 1, 0, 23, 17, 17), (3, 1, 0, 10, 16, 16), (4, 2, 30, 0, 14, 14), (5, 2, 0, 3, 12, 12), (9, 1, 30, 0, 17, 16)}
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")

@@ -167,7 +167,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """``docs`` without those whose language is not found, or found with less than ``min_score``; columns as they are."""
+    """``docs`` without those that have no letter, or whose language is found with less than ``min_score``; columns as they are.
+
+    Scores are 0 at least, so that the default of ``min_score`` rejects nothing. If no language was learnt, every text with
+    a letter scores 0 and stays with that default.
+    """
     model = learn(docs.where(~held_out(F.col("doc_id"))))
+    if not model[0]:
+        model = ["any"], np.zeros((1, DIM), np.float32)
     found = predict(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), model, "in_text")
     return found.where((F.col("lang_pred") != NONE) & (F.col("score") >= min_score)).select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])

@@ -8,7 +8,8 @@ lowest, so equal windows have the same one and meet under its hash:
    within each task and then by a minimum for each hash, so that no group of copies meets in one task;
 2. minimizers with several different strands are where copies differ, begin or end. The bytes of each different strand are
    fetched, and blocks of whole minimizer groups get a suffix array (``suffix_groups``), in which equal windows are
-   neighbours; all but the first of each run go. Very large groups are dealt out by the text that equal windows share;
+   neighbours; all but the first of each run go. Very large groups are dealt out in pieces by the text that equal windows
+   share; equal pieces are settled first, in a task before the dealing by their bytes and after it by their hash;
 3. what goes is gathered by document and cut out.
 """
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from tallyloom.llm.suffix_groups import repeated_runs
 LENGTH, GRAM = 100, 32
 #: Windows in a piece of a strand; strands of a minimizer from which its pieces are dealt out one by one; bytes of strands that are sorted together.
 PIECE, MANY, BLOCK_BYTES = 8, 1000, 1 << 18
+#: Different pieces that a task holds before the shuffle.
+HELD = 50_000
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -158,7 +162,22 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, wanted (mark, g, many)) to (key, id, mark, body) with the bytes of strands, or of pieces of strands of large groups."""
+    """(id, text, wanted (mark, g, many)) to (key, id, mark, body) with the bytes of strands, or of pieces of strands of large groups.
+
+    Of pieces that are equal byte by byte only the earliest goes on, as far as HELD of them are held at a time; the others
+    repeat it. Their rows have no body, and keys that spread them.
+    """
+    held: dict[tuple[int, bytes], tuple[int, int]] = {}
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "id", "mark", "body"])
+
+    def earliest() -> list[tuple]:
+        out = [(k, *place, piece) for (k, piece), place in held.items()]
+        held.clear()
+        return out
+
     for batch in batches:
         out: list[tuple] = []
         for i, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -171,9 +190,17 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 key, _, lo, n = _cut(np.array([w["g"]]), np.frombuffer(body, np.uint8), np.array([0, len(body)]), np.array([lead]))
                 marks = _mark(v, start + lo, lead - lo, n)
-                out += [(k, i, m, body[a : a + c + LENGTH - 1]) for k, m, a, c in zip(key.view(np.int64).tolist(), marks.tolist(), lo.tolist(), n.tolist(), strict=True)]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "id", "mark", "body"])
+                for k, m, a, c in zip(key.view(np.int64).tolist(), marks.tolist(), lo.tolist(), n.tolist(), strict=True):
+                    piece, place = (k, body[a : a + c + LENGTH - 1]), (i, m)
+                    known = held.setdefault(piece, place)
+                    if place != known:  # a repeated row's piece is the same occurrence
+                        held[piece] = min(known, place)
+                        out.append((hash(max(known, place)), *max(known, place), None))
+            if len(held) >= HELD:
+                out += earliest()
+        yield rows(out)
+    if held:
+        yield rows(earliest())
 
 
 def _cut(g: np.ndarray, data: np.ndarray, bounds: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -239,7 +266,11 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*gone, strict=True)], ["id", "v", "lo", "hi"])
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        gone = pc.is_null(batch.column(3))
+        if pc.any(gone).as_py():  # pieces that equal an earlier one
+            v, start, _, n = _unmark(batch.column(2).filter(gone).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(gone), *[pa.array(c) for c in (v, start, start + n + LENGTH - 1)]], ["id", "v", "lo", "hi"])
+        for row in zip(*(c.to_pylist() for c in batch.filter(pc.invert(gone)).columns), strict=True):
             if row[0] != last and size >= BLOCK_BYTES:
                 yield from flush()
                 held, size = [], 0

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyloom.llm import suffix_dedup, suffix_groups
@@ -68,3 +70,17 @@ def test_odd_rows(spark):
     assert kept.columns == df.columns
     assert sorted(((r.doc_id, r.text, r.n_chars) for r in kept.collect()), key=str) == sorted([(None, a, 150), (4, a[:23], 23), (4, a[:23], 23), (4, "q" * 30 + "é", 31), (9, "zz", 2), (None, None, None)], key=str)
     assert suffix_dedup.cut_repeats(df.limit(0)).collect() == [] and suffix_dedup.deduplicate(df.limit(0)).collect() == []
+
+
+def test_equal_pieces_are_settled_before_the_shuffle():
+    text = "".join(random.Random(4).choices("abcdefghij", k=250))
+    g, _, start, count, own = (c.tolist() for c in suffix_dedup.strands(np.frombuffer(text.encode(), np.uint8)))
+    wanted = [{"mark": int(suffix_dedup._mark(0, s, o - s, c)), "g": int(np.uint64(k).view(np.int64)), "many": True} for k, s, c, o in zip(g, start, count, own)]
+    kind = pa.list_(pa.struct([("mark", pa.int64()), ("g", pa.int64()), ("many", pa.bool_())]))
+    batches = [pa.RecordBatch.from_arrays([pa.array([i, i]), pa.array([text] * 2), pa.array([wanted] * 2, kind)], ["id", "text", "wanted"]) for i in (9, 3, 5)]
+    out = [r for b in suffix_dedup._fetch(iter(batches)) for r in b.to_pylist()]
+    assert {r["id"] for r in out if r["body"] is not None} == {3}
+    kept, gone = ({(r["id"], r["mark"]) for r in out if (r["body"] is None) == none} for none in (False, True))
+    assert gone == {(i, m) for i in (5, 9) for _, m in kept}
+    ranges = [r for b in suffix_dedup._resolve(iter([pa.RecordBatch.from_pylist(sorted(out, key=lambda r: r["key"]), schema=pa.schema([("key", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("body", pa.binary())]))])) for r in b.to_pylist()]
+    assert {i: {b for r in ranges if r["id"] == i for b in range(r["lo"], r["hi"])} for i in (3, 5, 9)} == {3: set(), 5: {*range(len(text))}, 9: {*range(len(text))}}

@@ -124,21 +124,26 @@ def fit(bags: list[np.ndarray], labels: list[int], seed: int = 7) -> Model:
     return model
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, label) to (label, features as bytes) of SAMPLE_PASSAGES passages at most."""
-    for batch in batches:
-        data, offsets = words.text_buffers(batch.column(0))
-        out = []
-        for a, b in words.chunks(offsets):
-            x, first = passage_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            for lo, hi in zip(first[:-1], first[1:], strict=True):
-                out.append(x[np.unique(np.linspace(lo, hi - 1, min(hi - lo, SAMPLE_PASSAGES)).astype(int))].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["label", "x"])
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def _bags(passages: int | None):
+    """A function for mapInArrow: (text, label) to (label, features as bytes) of ``passages`` passages at most, or of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = words.text_buffers(batch.column(0))
+            out = []
+            for a, b in words.chunks(offsets):
+                x, first = passage_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for lo, hi in zip(first[:-1], first[1:], strict=True):
+                    out.append(x[np.unique(np.linspace(lo, hi - 1, min(hi - lo, passages or hi - lo)).astype(int))].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["label", "x"])
+
+    return run
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int | None = SAMPLE_PASSAGES) -> Model:
     """A model of ``labels.quality`` from ``sample`` labelled documents at most, those whose ids hash lowest, none of them held out.
 
+    Of each, ``passages`` evenly spaced passages at most reach the driver, or all if it is None; the two bound the sample.
     Null ids, texts and labels are left out; repeated labels of a document count as often as they occur.
     """
     text_batches(docs.sparkSession)
@@ -147,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
     # The chosen labels are ``sample`` rows of two numbers.
     rows = texts.join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label"))
-    found = sorted((r["label"], bytes(r["x"])) for r in rows.mapInArrow(_bags, "label int, x binary").collect())
+    found = sorted((r["label"], bytes(r["x"])) for r in rows.mapInArrow(_bags(passages), "label int, x binary").collect())
     return fit([np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x in found], [label for label, _ in found])
 
 

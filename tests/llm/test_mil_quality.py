@@ -68,3 +68,14 @@ def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in m.grade(d, none).collect()] == [0.5]
     assert m.grade(d.limit(0), none).collect() == []
+
+
+def test_passages_of_the_sample_are_an_argument(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(m, "fit", lambda bags, labels: seen.append(sorted(len(b) for b in bags)))
+    ids = [k for k in range(20) if zlib.crc32(str(k).encode()) % 5][:2]
+    docs = spark.createDataFrame([(ids[0], "some words " * 5000), (ids[1], "some words " * 100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in ids], "doc_id long, quality int")
+    for passages in ({}, {"passages": 2}, {"passages": None}):
+        m.learn(docs, labels, **passages)
+    assert seen[0][1] == 64 and seen[1] == [2, 2] and seen[2][0] == seen[0][0] and seen[2][1] > 100

@@ -4,7 +4,8 @@ The result is that of applying the merge list in order of rank. A token boundary
 merges of rising rank, each of which takes the left part of the merge before it as its right part; ``lookahead``
 is the longest text such a chain spans in the given merge list. So when so many bytes follow a token, it is stable
 and leaves the encoder, and a piece of any length is encoded in memory that does not depend on its length.
-Between pieces the library's splitting pattern and special tokens apply as they are.
+Every piece, short or long, passes through the one encoder; what it gave for recent pieces is remembered in it. Between
+pieces the library's splitting pattern and special tokens apply as they are.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r" \t-\r\x85\xa0"
 FIND_LATIN = re.compile(rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
 FIND_ANY, WIDE = regex.compile(PATTERN).findall, re.compile("[^\x00-ɏ]").search
-#: Pieces up to this many characters are kept in a table of at most CACHE_ENTRIES; longer ones are streamed.
-CACHE_CHARS, CACHE_ENTRIES = 64, 400_000
-#: Characters of a long text that are split into pieces at a time.
-SPAN_CHARS = 1 << 16
+#: Where any text may be cut without changing its pieces: after a letter or number before a character of another kind, and before white space.
+CUT = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=\S)(?=\s)")
+#: Characters of a long text that are split into pieces at a time, and that the encoder is fed with at a time; what its memory of pieces holds.
+SPAN_CHARS, STEP_CHARS, MEMO_BYTES = 1 << 16, 256, 1 << 25
 
 
 def default_vocabulary() -> str:
@@ -122,11 +123,15 @@ def _merged_long(vocab: Vocabulary, ids: list[int]) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
-class Encoder:
-    """Streams the bytes of one piece: ``feed`` returns ids that no later byte can change, ``finish`` the rest."""
+class Encoder(dict):
+    """The transducer: ``feed`` takes bytes of a piece and returns ids that no later byte can change, ``finish`` the rest.
+
+    As a mapping it gives a piece's packed ids. It streams each piece that it does not remember; what it remembers is
+    MEMO_BYTES of pieces and ids at most.
+    """
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.pending = vocab, b""
+        self.vocab, self.pending, self.held, self.streamed = vocab, b"", 0, 0
 
     def feed(self, data: bytes) -> list[int]:
         self.pending += data
@@ -144,51 +149,47 @@ class Encoder:
         out, self.pending = merged(self.vocab, self.pending), b""
         return out
 
+    def stream(self, piece: str) -> Iterator[bytes]:
+        """Packed ids of a piece, part by part as they become stable."""
+        self.streamed += 1
+        for at in range(0, len(piece), STEP_CHARS):
+            if ids := self.feed(piece[at : at + STEP_CHARS].encode()):
+                yield pack(ids)
+        yield pack(self.finish())
+
+    def __missing__(self, piece: str) -> bytes:
+        found = b"".join(self.stream(piece))
+        self.held += 4 * len(piece) + len(found)
+        if self.held > MEMO_BYTES:
+            self.clear()
+            self.held = 4 * len(piece) + len(found)
+        self[piece] = found
+        return found
+
 
 def _spans(text: str) -> Iterator[str]:
-    """Parts of a long text, cut only where a character other than white space is followed by a space: no piece crosses that."""
+    """Parts of a long text, cut where no piece crosses; only a run of one kind of character makes a part longer than SPAN_CHARS."""
     at = 0
     while len(text) - at > SPAN_CHARS:
-        cut = next((k for k in range(at + SPAN_CHARS, len(text)) if text[k] == " " and not text[k - 1].isspace()), len(text))
-        yield text[at:cut]
-        at = cut
+        found = CUT.search(text, at + SPAN_CHARS)
+        if not found:
+            break
+        yield text[at : found.start()]
+        at = found.start()
     yield text[at:]
 
 
-class _Pieces(dict):
-    """Packed ids of pieces, encoded when first asked for."""
-
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
-
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        if len(piece) > CACHE_CHARS:
-            return b"".join(stream_piece(self.vocab, data))
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        found = self[piece] = pack(merged(self.vocab, data))  # shorter than the lookahead: nothing is stable before its end
-        return found
-
-
 def pack(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def stream_piece(vocab: Vocabulary, data: bytes) -> Iterator[bytes]:
-    encoder = Encoder(vocab)
-    for k in range(0, len(data), 4096):
-        yield pack(encoder.feed(data[k : k + 4096]))
-    yield pack(encoder.finish())
-
-
 class Tokenizer:
     """Encoder and decoder of whole texts over a vocabulary file."""
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
-        self.pieces = _Pieces(self.vocab)
+        self.encoder = Encoder(self.vocab)
         self.bytes_of = np.frombuffer(b"".join(self.vocab.bytes_of.get(i, b"") for i in range(max(self.vocab.bytes_of) + 1)), np.uint8)
         self.lengths = np.array([len(self.vocab.bytes_of.get(i, b"")) for i in range(max(self.vocab.bytes_of) + 1)])
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -205,7 +206,11 @@ class Tokenizer:
                 yield self.vocab.special[part].to_bytes(4, "little")
             elif part:
                 for span in _spans(part):
-                    yield b"".join(map(self.pieces.__getitem__, self.find(span)))
+                    if len(span) > 2 * SPAN_CHARS:
+                        for piece in self.find(span):
+                            yield from self.encoder.stream(piece)
+                    else:
+                        yield b"".join(map(self.encoder.__getitem__, self.find(span)))
 
     def decode(self, parts: Iterator[bytes]) -> Iterator[str]:
         """Text of packed ids; bytes that are no UTF-8 become replacement characters, also across parts."""

@@ -56,6 +56,37 @@ def test_spans_do_not_change_the_result(library, ours, monkeypatch):
         assert ids_of(ours, text) == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_all_pieces_pass_through_the_encoder(library, monkeypatch):
+    ours = bpe_stream.Tokenizer(bpe_stream.default_vocabulary())
+    fed, merged = [], bpe_stream.merged
+    inner = ours.encoder.finish
+    monkeypatch.setattr(ours.encoder, "finish", lambda: fed.append(ours.encoder.pending) or inner())
+    calls = []
+    monkeypatch.setattr(bpe_stream, "merged", lambda v, p: calls.append(p) or merged(v, p))
+    text = "short and longer words, 1234 and " + "abc" * 400 + " again: short and longer words"
+    assert ids_of(ours, text) == library.encode(text, add_special_tokens=False).ids
+    distinct = set(ours.find(text))
+    assert ours.encoder.streamed == len(distinct) == len(fed) and set(ours.encoder) == distinct
+    assert len(calls) > len(distinct) and max(map(len, calls)) <= 4 * ours.vocab.lookahead + 4 * bpe_stream.STEP_CHARS
+
+
+def test_memory_of_pieces_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe_stream, "MEMO_BYTES", 2000)
+    ours = bpe_stream.Tokenizer(bpe_stream.default_vocabulary())
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(3000))
+    assert ids_of(ours, text) == library.encode(text, add_special_tokens=False).ids
+    assert sum(4 * len(k) + len(v) for k, v in ours.encoder.items()) <= 2000
+
+
+@pytest.mark.parametrize("unit", ["a", "1", "=", " ", "漢", "a'", "'s", "x1"])
+def test_long_texts_without_blanks(library, ours, monkeypatch, unit):
+    monkeypatch.setattr(bpe_stream, "SPAN_CHARS", 50)
+    text = unit * 700 + "'ll" + unit * 300
+    assert ids_of(ours, text) == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, ours.encode(text))) <= 4 * 1100
+
+
 def test_ids_cut_inside_a_character_decode(ours):
     data = b"".join(ours.encode("漢字😀"))
     parts = [data[k : k + 4] for k in range(0, len(data), 4)]

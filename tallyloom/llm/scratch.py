@@ -6,18 +6,31 @@ so a lost executor costs the running tasks only, never what was already computed
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests.
-DEFAULT_FOLDER = "/tmp/checkpoints"
+#: Used only where the session names no folder and runs on this machine alone, as in tests.
+LOCAL_FOLDER = "/tmp/checkpoints"
+_cleared_at_exit: set[str] = set()
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of this application, taken from ``spark.checkpoint.dir``."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or DEFAULT_FOLDER
-    return f"{base.rstrip('/')}/tallyloom-{spark.sparkContext.applicationId}"
+    """The shared folder of this application, taken from ``spark.checkpoint.dir``; it is deleted when Python ends.
+
+    On a cluster a session that names none is an error, for executors share no other folder.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = LOCAL_FOLDER
+    if context.applicationId not in _cleared_at_exit:
+        _cleared_at_exit.add(context.applicationId)
+        atexit.register(_clear_at_exit, spark)
+    return f"{base.rstrip('/')}/tallyloom-{context.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -42,6 +55,12 @@ def text_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def _clear_at_exit(spark: SparkSession) -> None:
+    process = getattr(spark.sparkContext._gateway, "proc", None)
+    if spark.sparkContext._jsc is not None and (process is None or process.poll() is None):
+        clear(spark)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table of this application."""
     jvm = spark.sparkContext._jvm

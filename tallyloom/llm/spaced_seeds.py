@@ -12,25 +12,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm import words
+from tallyloom.llm.hot import spread_join
 from tallyloom.llm.scratch import materialize, text_batches
 
-#: Ones are compared, zeros ignored. However 4 of 20 tokens, or 3 of 15, are substituted, one of these masks finds a place (tests try all ways).
-MASKS = ("11111", "1101011", "110010101")
+#: Ones are compared, zeros ignored, by the least number of tokens of an item. However 4 of 20 tokens, 3 of 15, 2 of 10 or 1 of 5
+#: are substituted, one of that row's masks finds a place (tests try all ways); shorter items must agree in full.
+MASKS = {15: ("1111001", "110001011"), 10: ("11101", "110011"), 5: ("1101", "1011"), 4: ("1101",), 3: ("101",), 2: ("11",), 1: ("1",)}
+ALL_MASKS = tuple(dict.fromkeys(m for row in MASKS.values() for m in row))
 #: A window of so many tokens (all, if an item has fewer) must agree in this percentage of its places; those beyond an edge differ.
-#: Items of fewer than EXACT_BELOW tokens are too short for the masks to find all substitutions; they must agree in full.
-WINDOW, PERCENT, EXACT_BELOW = 20, 80, 15
-#: Bits of the table of benchmark seeds: 2 MB, however many items there are.
-TABLE_BITS = 24
+WINDOW, PERCENT = 20, 80
+#: Bits of the table of benchmark seeds: 2 MB, however many items there are. Items that are verified beside one copy of a document.
+TABLE_BITS, ITEMS = 24, 64
 
 
 def _seeds(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of mask k at every start of a row's token run that holds it, and whether each start is one."""
-    ones = [j for j, c in enumerate(MASKS[k]) if c == "1"]
-    span, n = len(MASKS[k]), len(hashes)
+    ones = [j for j, c in enumerate(ALL_MASKS[k]) if c == "1"]
+    span, n = len(ALL_MASKS[k]), len(hashes)
     out = np.zeros(max(0, n - span + 1), np.uint64)
     for c, j in zip(words.constants(len(ones), 101 + k), ones, strict=True):
         out += hashes[j : j + len(out)] * c
@@ -38,8 +40,16 @@ def _seeds(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, n
     return words.mix64(out), row[: len(out)] == row[n - len(out) :] if len(out) else np.zeros(0, bool)
 
 
-def _seed_rows(table: np.ndarray | None):
-    """A function for mapInArrow over (id, text): rows (id, seed, at) of seeds whose bit is set, or of all."""
+def _uses(sizes: np.ndarray, k: int) -> np.ndarray:
+    """Whether items of these numbers of tokens are found by mask k."""
+    least = sorted(MASKS)
+    at = np.searchsorted(least, sizes, "right") - 1
+    return np.array([ALL_MASKS[k] in MASKS[n] for n in least])[at] & (at >= 0)
+
+
+def _seed_rows(table: np.ndarray | None, masks: list[int]):
+    """A function for mapInArrow over (id, text): rows (id, seed, at, mask) of seeds whose bit is set; without a table, of all
+    seeds of the masks that find an item of this length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(table).view(bool) if table is not None else None
@@ -48,17 +58,20 @@ def _seed_rows(table: np.ndarray | None):
             for a, b in words.chunks(offsets):
                 hashes, first, _, _ = words.word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 row = np.repeat(np.arange(b - a), np.diff(first))
-                seeds, rows, starts = [], [], []
-                for k in range(len(MASKS)):
+                seeds, rows, starts, kinds = ([np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.int32))
+                for k in masks:
                     found, inside = _seeds(hashes, first, k)
                     if bits is not None:
                         inside &= bits[(found >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+                    else:
+                        inside &= _uses(np.diff(first), k)[row[: len(inside)]]
                     at = np.flatnonzero(inside)
                     seeds.append(found[at])
                     rows.append(row[at])
                     starts.append(at - first[row[at]])
+                    kinds.append(np.full(len(at), k, np.int32))
                 of = pa.array(np.concatenate(rows) + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(np.concatenate(seeds).view(np.int64)), pa.array(np.concatenate(starts).astype(np.int32))], ["id", "seed", "at"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(np.concatenate(seeds).view(np.int64)), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(kinds))], ["id", "seed", "at", "mask"])
 
     return run
 
@@ -73,63 +86,78 @@ def _bit_table(seeds: DataFrame) -> np.ndarray:
     return table.view(np.uint8)
 
 
+def best_run(d: np.ndarray, q: np.ndarray, shifts: list[int]) -> tuple[int, int, int, int] | None:
+    """Of the runs of a document's tokens ``d`` and an item's ``q`` at any of the shifts (of the item's first token in the
+    document), the one with most agreeing tokens, then the earliest in the item, then in the document: doc_start, item_start, n_tokens, n_same.
+
+    A run is what windows that pass cover without a break, from its first agreeing token to its last.
+    """
+    window, best = min(WINDOW, len(q)), None
+    for shift in shifts:
+        lo, hi = max(0, -shift), min(len(q), len(d) - shift)
+        same = d[lo + shift : hi + shift] == q[lo:hi]
+        inside = min(window, len(same))  # places of the window beyond an edge of the document or the item differ
+        sums = np.concatenate([[0], np.cumsum(same)])
+        good = np.flatnonzero(100 * (sums[inside:] - sums[: len(sums) - inside]) >= PERCENT * window)
+        agreeing = np.flatnonzero(same)
+        for part in np.split(good, np.flatnonzero(np.diff(good) > inside) + 1) if len(good) else ():
+            start, end = (int(agreeing[k]) for k in (np.searchsorted(agreeing, part[0]), np.searchsorted(agreeing, part[-1] + inside) - 1))
+            found = (int(sums[end + 1] - sums[start]), -(lo + start), -(lo + shift + start), end + 1 - start)
+            best = max(best, found) if best else found
+    return (-best[2], -best[1], best[3], best[0]) if best else None
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, item_id, item, shifts) to the overlaps of each row that pass, if any."""
+    """(doc_id, text, items (key, item, shifts)) to the best runs of each document and item, if any."""
     for batch in batches:
         out = []
-        for i, text, item_id, item, shifts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            both = pa.array([text, item])
-            data, offsets = words.text_buffers(both)
+        for i, text, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            data, offsets = words.text_buffers(pa.array([text, *[x["item"] for x in items]]))
             hashes, first, _, _ = words.word_hashes(data, offsets)
-            d, q = hashes[: first[1]], hashes[first[1] :]
-            window, percent, best = min(WINDOW, len(q)), PERCENT if len(q) >= EXACT_BELOW else 100, None
-            for shift in shifts:  # of the item's first token in the document
-                lo, hi = max(0, -shift), min(len(q), len(d) - shift)
-                same = d[lo + shift : hi + shift] == q[lo:hi]
-                inside = min(window, len(same))  # places of the window beyond an edge of the document or the item differ
-                sums = np.concatenate([[0], np.cumsum(same)])
-                good = np.flatnonzero(100 * (sums[inside:] - sums[: len(sums) - inside]) >= percent * window)
-                if len(good):
-                    start, end = int(good[0]), int(good[-1]) + inside
-                    found = (int(sums[end] - sums[start]), -start, lo + shift + start, lo + start, end - start)
-                    best = max(best, found) if best else found
-            if best:
-                out.append((i, item_id, best[2], best[3], best[4], best[0]))
-        kinds = [batch.schema.field(0).type, batch.schema.field(2).type, *[pa.int32()] * 4]
+            for k, x in enumerate(items, 1):
+                if found := best_run(hashes[: first[1]], hashes[first[k] : first[k + 1]], x["shifts"]):
+                    out.append((i, x["key"], *found))
+        kinds = [batch.schema.field(0).type, pa.int64(), *[pa.int32()] * 4]
         columns = list(zip(*out, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_same"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "key", "doc_start", "item_start", "n_tokens", "n_same"])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Columns doc_id, item_id, doc_start, item_start, n_tokens and n_same: one row for each document and item that
-    overlap, with the place (in tokens) of the best run of windows that agree in PERCENT of their places. A window may reach
-    over an edge of the document or the item: the tokens beyond it count as differing and are not part of the run.
+    overlap, with the place (in tokens) of their best run, see ``best_run``. A window has WINDOW tokens, or all of a shorter item,
+    and passes if PERCENT of its places agree; it may reach over an edge of the document or the item, where its places differ.
 
-    Tokens are runs of characters other than ASCII white space, with A-Z as a-z. Items of fewer than EXACT_BELOW tokens must agree in full, those of
-    fewer than five overlap with nothing, nor do null or empty texts, or rows without an id. Rows that repeat an id count as versions of
-    one document; a pair is reported once. Empty tables give an empty table.
+    Tokens are runs of characters other than ASCII white space, with A-Z as a-z. Items of any length count; those of one
+    to four tokens overlap wherever they stand in full. Null, empty and blank texts overlap with nothing, nor do rows
+    without an id. Rows that repeat an id count as versions of one document or item; a pair is reported once. Empty tables
+    give an empty table. Equal items are looked up once; seeds that very many places share are split before they are joined.
     """
     text_batches(docs.sparkSession)
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    q = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).alias("id"), F.col(item_text).alias("text")).distinct()
-    d_type, q_type = (x.schema["id"].dataType.simpleString() for x in (d, q))
-    seeds = materialize(q.mapInArrow(_seed_rows(None), f"id {q_type}, seed long, at int").distinct(), "seeds-benchmark")
-    table = _bit_table(seeds)
+    q = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).distinct()
+    # Equal texts are one item, told apart from others by a hash.
+    members = q.select(F.xxhash64("text").alias("key"), F.col("item").alias("item_id"))
+    items = materialize(q.select(F.xxhash64("text").alias("key"), "text").distinct(), "seeds-items")
+    d_type = d.schema["id"].dataType.simpleString()
+    row = "seed long, at int, mask int"
+    seeds = materialize(items.mapInArrow(_seed_rows(None, list(range(len(ALL_MASKS)))), f"key long, {row}"), "seeds-benchmark")
+    masks = sorted(r["mask"] for r in seeds.select("mask").distinct().collect())  # of the few there are
     # The table travels as a broadcast variable of a fixed 2 MB, whatever the benchmark's size.
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(_bit_table(seeds))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _seed_rows(shared.value)(batches)
+        yield from _seed_rows(shared.value, masks)(batches)
 
-    probes = d.mapInArrow(probe, f"id {d_type}, seed long, at int")
-    hits = probes.join(seeds.select("seed", F.col("id").alias("item_id"), F.col("at").alias("item_at")), "seed")
-    shifts = hits.select("id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).groupBy("id", "item_id").agg(F.sort_array(F.collect_set("shift")).alias("shifts"))
-    pairs = materialize(shifts, "seeds-pairs")
+    probes = materialize(d.mapInArrow(probe, f"id {d_type}, {row}").drop("mask"), "seeds-probes")
+    hits = spread_join(probes, seeds.select("seed", "key", F.col("at").alias("item_at")), ["seed"], ["id", "at"])
+    shifts = hits.select("id", "key", (F.col("at") - F.col("item_at")).alias("shift")).groupBy("id", "key").agg(F.sort_array(F.collect_set("shift")).alias("shifts"))
+    pairs = materialize(shifts.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("id").orderBy("key")) - 1) / ITEMS)), "seeds-pairs")
     texts = d.join(pairs.select("id").distinct(), "id", "left_semi").distinct()
-    rows = pairs.join(q.select(F.col("id").alias("item_id"), F.col("text").alias("item")), "item_id").join(texts, "id")
-    verified = rows.select(F.col("id").alias("doc_id"), "text", "item_id", "item", "shifts").mapInArrow(_verify, f"doc_id {d_type}, item_id {q_type}, doc_start int, item_start int, n_tokens int, n_same int")
-    best = F.max(F.struct("n_same", "n_tokens", (-F.col("doc_start")).alias("ds"), (-F.col("item_start")).alias("is"))).alias("m")
-    return verified.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("m.ds")).alias("doc_start"), (-F.col("m.is")).alias("item_start"), "m.n_tokens", "m.n_same")
+    beside = pairs.join(items.select("key", F.col("text").alias("item")), "key").groupBy("id", "part").agg(F.collect_list(F.struct("key", "item", "shifts")).alias("items"))
+    verified = beside.join(texts, "id").select(F.col("id").alias("doc_id"), "text", "items").mapInArrow(_verify, f"doc_id {d_type}, key long, doc_start int, item_start int, n_tokens int, n_same int")
+    best = F.max(F.struct("n_same", (-F.col("item_start")).alias("is"), (-F.col("doc_start")).alias("ds"), "n_tokens")).alias("m")
+    found = verified.join(members, "key").groupBy("doc_id", "item_id").agg(best)
+    return found.select("doc_id", "item_id", (-F.col("m.ds")).alias("doc_start"), (-F.col("m.is")).alias("item_start"), "m.n_tokens", "m.n_same")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

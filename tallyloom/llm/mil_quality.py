@@ -18,8 +18,8 @@ from tallyloom.llm import words
 from tallyloom.llm.hd_language import held_out
 from tallyloom.llm.scratch import text_batches
 
-#: Bytes in a passage; labelled documents at most, and evenly spaced passages of each at most, that the model is fitted on.
-PASSAGE, SAMPLE, SAMPLE_PASSAGES = 512, 6000, 64
+#: Bytes in a passage; labelled documents at most, and passages of all of them together at most, that the model is fitted on.
+PASSAGE, SAMPLE, SAMPLE_PASSAGES = 512, 6000, 100_000
 #: Sizes of the encoding and of the attention; passes over the sample.
 HIDDEN, ATTENTION, EPOCHS, BATCH, RATE = 32, 16, 30, 128, 0.01
 #: Bytes 0-127 by value, lead bytes of longer characters as one, continuation bytes as one; then word statistics.
@@ -124,35 +124,42 @@ def fit(bags: list[np.ndarray], labels: list[int], seed: int = 7) -> Model:
     return model
 
 
-def _bags(passages: int | None):
-    """A function for mapInArrow: (text, label) to (label, features as bytes) of ``passages`` passages at most, or of all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = words.text_buffers(batch.column(0))
-            out = []
-            for a, b in words.chunks(offsets):
-                x, first = passage_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for lo, hi in zip(first[:-1], first[1:], strict=True):
-                    out.append(x[np.unique(np.linspace(lo, hi - 1, min(hi - lo, passages or hi - lo)).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["label", "x"])
-
-    return run
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, label) to (label, features of all passages as bytes)."""
+    for batch in batches:
+        data, offsets = words.text_buffers(batch.column(0))
+        out = []
+        for a, b in words.chunks(offsets):
+            x, first = passage_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            out += [x[lo:hi].tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary())], ["label", "x"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int | None = SAMPLE_PASSAGES) -> Model:
-    """A model of ``labels.quality`` from ``sample`` labelled documents at most, those whose ids hash lowest, none of them held out.
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int = SAMPLE_PASSAGES) -> Model:
+    """A model of ``labels.quality`` from labelled documents, none of them held out, with all of their passages.
 
-    Of each, ``passages`` evenly spaced passages at most reach the driver, or all if it is None; the two bound the sample.
-    Null ids, texts and labels are left out; repeated labels of a document count as often as they occur.
+    Documents are taken in the order of a hash of their ids, ``sample`` of them at most; one that would bring more than
+    ``passages`` passages together is passed over. These two bound what reaches the driver. Null ids, texts and labels are
+    left out; equal labels of a document count once, different ones once each, as do rows that repeat a document.
     """
     text_batches(docs.sparkSession)
-    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id")))
-    chosen = known.select("doc_id", F.col("quality").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    texts = docs.where("text IS NOT NULL").select("doc_id", "text")
-    # The chosen labels are ``sample`` rows of two numbers.
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("text", F.col("label").cast("int").alias("label"))
-    found = sorted((r["label"], bytes(r["x"])) for r in rows.mapInArrow(_bags(passages), "label int, x binary").collect())
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("label")).distinct()
+    order = F.xxhash64("doc_id"), F.col("doc_id"), F.col("label")
+    chosen = known.orderBy(*order).limit(sample)
+    mark = F.xxhash64("text").alias("mark")
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", mark, "text")
+    # The chosen labels are ``sample`` rows of two numbers; so are the sizes that come back, with a hash of the text.
+    sizes = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "mark", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)).alias("n")).distinct()
+    taken, total = [], 0
+    for r in sizes.orderBy(*order, "mark").limit(sample).collect():
+        if total + r["n"] <= passages:
+            total += r["n"]
+            taken.append((r["doc_id"], r["label"], r["mark"]))
+    if not taken:
+        return fit([], [])
+    wanted = docs.sparkSession.createDataFrame(taken, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, mark long")
+    rows = texts.join(F.broadcast(wanted), ["doc_id", "mark"]).groupBy("doc_id", "mark", "label").agg(F.first("text").alias("text")).select("text", "label")
+    found = sorted((r["label"], bytes(r["x"])) for r in rows.mapInArrow(_bags, "label int, x binary").collect())
     return fit([np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x in found], [label for label, _ in found])
 
 

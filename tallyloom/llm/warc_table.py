@@ -1,7 +1,8 @@
 """WARC archives written and read as tables of record chunks.
 
 The writer is a projection: each page becomes one record, or one ``response`` and further ``continuation`` records where
-its block exceeds ``chunk_bytes``. Spark's text writer puts CRLF CRLF after every row, which is how WARC ends a record,
+its block exceeds ``chunk_bytes``; a record's chunks are rows that are cut from the payload one by one, and no record is
+ever put together. Spark's text writer puts CRLF CRLF after every row, which is how WARC ends a record,
 so archives go to any store that Spark can write, in files that are compressed as a whole.
 The reader splits files at CRLF CRLF, puts the byte stream together again and follows Content-Length, so that payloads
 may hold anything. It yields a row (record_id, chunk_no) for each chunk, with the digest of the payload so far, and
@@ -17,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.scratch import text_batches
+from tallyloom.llm.hot import spread_join
+from tallyloom.llm.scratch import materialize, text_batches
 
-#: Bytes of block in a record before it is continued in another; least payload that may be a revisit.
-CHUNK_BYTES, MIN_REVISIT = 1 << 16, 100
+#: Bytes of block in a record before it is continued in another; least payload that may be a revisit; repeated digests (some 100 bytes each) that are broadcast.
+CHUNK_BYTES, MIN_REVISIT, BROADCAST_DIGESTS = 1 << 16, 100, 100_000
 _END = b"\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
@@ -31,14 +33,20 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
     Null payloads are empty. Of equal payloads of ``min_revisit`` bytes or more, that of the smallest id is the response
     and those of other ids revisit it; rows that repeat that id with that payload are responses too. Rows without an id
-    are never referred to. Only digests and ids are shuffled to find the first of each payload; one row for each digest
-    that occurs several times is then joined, so a payload that many pages share meets in no single task.
+    are never referred to. Only digests and ids are shuffled to find the first of each payload. Digests that occur several
+    times are written to a table of one row each and joined: by broadcast while there are BROADCAST_DIGESTS of them at most,
+    so that payloads stay where they were read; beyond that by digest, split where many pages share a payload.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     found = rows.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
-    joined = rows.join(found.select("payload_digest", "first"), "payload_digest", "left")
+    found = materialize(found, "warc-repeats")
+    first = found.select("payload_digest", "first")
+    if found.count() <= BROADCAST_DIGESTS:
+        joined = rows.join(F.broadcast(first), "payload_digest", "left")
+    else:
+        joined = spread_join(rows, first, ["payload_digest"], ["id"], counts=found.select("payload_digest", "n"), how="left")
     again = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") != F.col("first")))
     return joined.select("id", "url", "payload", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
@@ -51,12 +59,17 @@ def _header(*fields: tuple[str, Column]) -> Column:
 
 def write_archives(found: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> None:
     """Write what ``records`` returns as gzipped WARC files under ``path``."""
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
-    block = F.when(F.col("record_type") == "response", F.concat(http.cast("binary"), F.col("payload"))).otherwise(http.cast("binary"))
+    # A block is the HTTP header and, in a response, the payload; it is cut into chunks without being put together.
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n")).cast("binary")
     name = F.concat(F.lit("urn:x-page:"), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":"), F.substring("payload_digest", 1, 16))
-    rows = found.withColumn("block", block).withColumns({"name": name, "size": F.octet_length("block"), "n": F.greatest(F.lit(1), F.ceil(F.octet_length("block") / chunk_bytes)).cast("int")})
+    size = F.octet_length(http) + F.when(F.col("record_type") == "response", F.octet_length("payload")).otherwise(0)
+    rows = found.withColumns({"http": http, "name": name, "size": size}).withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("size") / chunk_bytes)).cast("int"))
     part = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    piece = F.substring(F.col("block"), F.col("k") * chunk_bytes + 1, F.lit(chunk_bytes))
+    # Where the chunk's payload starts, before 0 for what of the chunk is HTTP header.
+    at = F.col("k") * chunk_bytes - F.octet_length("http")
+    head = F.substring(F.col("http"), F.col("k") * chunk_bytes + 1, F.lit(chunk_bytes))
+    body = F.substring(F.col("payload"), F.greatest(F.lit(0), at) + 1, F.greatest(F.lit(0), F.least(F.lit(chunk_bytes), at + chunk_bytes)))
+    piece = F.concat(head, F.when(F.col("record_type") == "response", body).otherwise(F.lit(b"")))
     first, many = F.col("k") == 0, F.col("n") > 1
     own = F.when(first, F.col("name")).otherwise(F.concat(F.col("name"), F.lit(":"), F.col("k").cast("string")))
     header = _header(

@@ -46,6 +46,18 @@ def test_round_trip_of_awkward_payloads(spark):
         assert wanted <= {(page, data) for (_, page), data in texts.items()}
 
 
+def test_shared_payloads_are_not_shuffled_or_are_split(spark, monkeypatch):
+    from tallyloom.llm import hot
+
+    rows = [(k, "u", "shared " * 40 if k % 3 else f"own {k} " * 40) for k in range(300)] + [(None, "u", "shared " * 40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    plan = warc_table.records(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(warc_table, "BROADCAST_DIGESTS", 0)
+    monkeypatch.setattr(hot, "SLICE_ROWS", 20)
+    assert rows_of(warc_table.round_trip(df, scratch.new_path(spark, "warc"))) == brute(rows)
+
+
 def test_archives_are_plain_warc(spark, tmp_path):
     path = scratch.new_path(spark, "warc")
     warc_table.write_archives(warc_table.records(spark.createDataFrame([(1, "http://a/", "y" * 200)], "page_id long, url string, html string")), path)

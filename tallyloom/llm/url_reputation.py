@@ -2,8 +2,11 @@
 
 Labelled pages are counted by host, registered domain and suffix. At each level a beta prior is centred on the
 estimate of the level above, and its strength is fitted by moments from how far the groups scatter beyond binomial
-noise; the suffixes' prior is centred on all labelled pages and one bad page of ten besides. A host is blocked when the lower bound of its posterior rate of bad pages exceeds ``max_bad``.
-Everything is a DataFrame expression; only aggregates of one row per host, domain and suffix are joined.
+noise; the suffixes' prior is centred on all labelled pages and one bad page of ten besides. A host is blocked when the
+lower bound of its posterior rate of bad pages exceeds ``lift`` times the rate of all labelled pages: it is then worse
+than the corpus, and by more than its own few pages could show by chance.
+Everything is a DataFrame expression. Pages are counted by host once; the levels above are tables of a row for each host,
+domain and suffix, and what is fitted at a level is one number.
 """
 
 from __future__ import annotations
@@ -13,12 +16,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.hot import spread_join
+from tallyloom.llm.scratch import materialize
+
 #: (verdict, rule): host and path of a rule meet at its first slash. The longest rule that fits wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Public suffixes of two labels; others have one.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "co.za", "com.cn")
-#: Standard deviations below the posterior mean, highest accepted lower bound of the bad rate, and limits of a prior's strength in pages.
-Z, MAX_BAD, STRENGTH = 1.645, 0.35, (2.0, 1000.0)
+#: Labels that form a public suffix together with a country's two letters; other suffixes are the last label.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+#: Standard deviations below the posterior mean, how many times the corpus's bad rate is accepted there, limits of a prior's strength in pages, and blocked hosts that are broadcast.
+Z, LIFT, STRENGTH, BROADCAST_HOSTS = 1.645, 1.0, (2.0, 1000.0), 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,70 +43,80 @@ def domain_and_suffix(host: Column) -> tuple[Column, Column]:
     """Registered domain and public suffix; a host of digits and dots, or of one label, is its own domain and suffix."""
     name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
     two, three = F.substring_index(name, ".", -2), F.substring_index(name, ".", -3)
-    double = two.isin(*TWO_LABEL_SUFFIXES)
+    double = two.rlike(rf"^({'|'.join(SECOND_LEVEL)})\.[a-z][a-z]$")
     plain = name.rlike(r"^[0-9.]*$")
     return F.when(plain, name).when(double, three).otherwise(two), F.when(plain, name).when(double, two).otherwise(F.substring_index(name, ".", -1))
 
 
-def _strength(groups: DataFrame, n: str, k: str, mean: str) -> DataFrame:
-    """One row: the strength of the beta prior around ``mean`` that explains the scatter of the groups' rates."""
-    seen = groups.where(F.col(n) > 0)
-    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(mean)))
-    scatter = F.sum(F.col(n) * F.pow(F.col(k) / F.col(n) - p, 2) / (p * (1 - p)))
-    total, squares, count = F.sum(n).cast("double"), F.sum(F.col(n).cast("double") * F.col(n)), F.count(F.lit(1)).cast("double")
+def _strength(groups: DataFrame, mean: Column) -> float:
+    """The strength of the beta prior around ``mean`` that explains the scatter of the rates k / n of groups: one aggregated number."""
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), mean))
+    scatter = F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - p, 2) / (p * (1 - p)))
+    total, squares, count = F.sum("n").cast("double"), F.sum(F.col("n").cast("double") * F.col("n")), F.count(F.lit(1)).cast("double")
     spare = total - squares / total - (count - 1)
     rho = F.when(spare > 0, (scatter - (count - 1)) / spare)
     low, high = STRENGTH
     strength = F.greatest(F.lit(low), F.least(F.lit(high), F.when(rho > 0, 1 / rho - 1).otherwise(high)))
-    return seen.agg(F.coalesce(strength, F.lit(high)).alias("strength"))
+    return groups.where("n > 0").agg(F.coalesce(strength, F.lit(high)).alias("strength")).first()["strength"]
 
 
 def reputations(labelled: DataFrame, z: float = Z) -> DataFrame:
-    """Columns host, n_labelled, n_bad, bad_rate and bad_bound from rows of (host, bad 0, 1 or null).
+    """Columns host, n_labelled, n_bad, bad_rate, bad_bound and corpus_rate from rows of (host, n labelled pages, k of them bad).
 
-    One row for each host, with or without labelled pages; an empty table gives an empty table.
+    One row for each host, with or without labelled pages; corpus_rate, that of all of them, is null without any. Null hosts
+    are no hosts; an empty table gives an empty table.
     """
     domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k")).withColumns({"domain": domain, "suffix": suffix})
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
-    whole = suffixes.agg(((F.coalesce(F.sum("sk"), F.lit(0)) + 1) / (F.coalesce(F.sum("sn"), F.lit(0)) + 10)).alias("mean"))
-
-    # Each single row of a whole level is joined by a constant.
-    def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
-        return df.withColumn("__one", F.lit(1)).join(F.broadcast(one_row.withColumn("__one", F.lit(1))), "__one").drop("__one")
-
-    def shrunk(df: DataFrame, n: str, k: str, mean: str, to: str) -> DataFrame:
-        return beside(df, _strength(df, n, k, mean)).withColumn(to, (F.col(k) + F.col("strength") * F.col(mean)) / (F.col(n) + F.col("strength")))
-
-    suffixes = shrunk(beside(suffixes, whole), "sn", "sk", "mean", "suffix_rate").select("suffix", "suffix_rate")
-    domains = shrunk(domains.join(suffixes, "suffix"), "dn", "dk", "suffix_rate", "domain_rate").select("suffix", "domain", "domain_rate")
-    hosts = shrunk(hosts.join(domains, ["suffix", "domain"]), "n", "k", "domain_rate", "bad_rate")
+    both = F.sum("n").alias("n"), F.sum("k").alias("k")
+    hosts = materialize(labelled.where("host IS NOT NULL").groupBy("host").agg(*both).withColumns({"domain": domain, "suffix": suffix}), "reputation-hosts")
+    domains = materialize(hosts.groupBy("suffix", "domain").agg(*both), "reputation-domains")
+    suffixes = materialize(domains.groupBy("suffix").agg(*both), "reputation-suffixes")
+    n, k = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+
+    def shrunk(df: DataFrame, mean: Column, to: str) -> DataFrame:
+        strength = F.lit(_strength(df, mean))
+        return df.withColumns({to: (F.col("k") + strength * mean) / (F.col("n") + strength), "strength": strength})
+
+    suffixes = shrunk(suffixes, F.lit((k + 1) / (n + 10.0)), "suffix_rate").select("suffix", "suffix_rate")
+    domains = materialize(shrunk(domains.join(suffixes, "suffix"), F.col("suffix_rate"), "domain_rate").select("suffix", "domain", "domain_rate"), "reputation-rates")
+    hosts = shrunk(hosts.join(domains, ["suffix", "domain"]), F.col("domain_rate"), "bad_rate")
     spread = F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.col("n") + F.col("strength") + 1))
-    return hosts.select("host", F.col("n").alias("n_labelled"), F.col("k").alias("n_bad"), "bad_rate", (F.col("bad_rate") - z * spread).alias("bad_bound"))
+    return hosts.select("host", F.col("n").alias("n_labelled"), F.col("k").alias("n_bad"), "bad_rate", (F.col("bad_rate") - z * spread).alias("bad_bound"), F.lit(k / n if n else None).cast("double").alias("corpus_rate"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_bad: float = MAX_BAD, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, lift: float = LIFT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Columns ``id_col``, host, path, rule and verdict, for each row of ``pages``.
 
     A page is labelled through the document whose number its path holds; it is bad if that document is toxic or of
     quality 0. Null labels count as good, repeated labels of a document as bad if one is. Null urls have an empty host
-    and path. Repeated and null ids are kept as they are; extra columns of either table do not matter.
+    and path. Repeated and null ids are kept as they are; extra columns of either table do not matter. Without labels only
+    rules block. An empty table gives an empty table.
+
+    Pages are counted by host and number before labels are joined. The few hosts that are blocked are broadcast while there are
+    BROADCAST_HOSTS of them at most, so that pages are not shuffled; beyond that they are joined by host, large hosts split.
     """
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     number = F.expr("try_cast(regexp_extract(path, '/([0-9]+)', 1) AS bigint)")
     bad = F.when((F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0), 1).otherwise(0)
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(bad).alias("bad"))
-    seen = rows.select("host", number.alias("doc_id")).join(known, "doc_id", "left").select("host", "bad")
-    found = reputations(seen).select("host", (F.col("bad_bound") > max_bad).alias("bad_host"))
+    seen = rows.groupBy("host", number.alias("doc_id")).agg(F.count(F.lit(1)).alias("pages"))
+    # Numbers without a label, and pages without a number, count for no host; the latter meet no join.
+    counted = seen.where("doc_id IS NOT NULL").join(known, "doc_id").select("host", F.col("pages").alias("n"), (F.col("pages") * F.col("bad")).alias("k"))
+    unlabelled = seen.select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k")).distinct()
+    found = reputations(counted.unionByName(unlabelled))
+    blocked = materialize(found.where(F.col("bad_bound") > lift * F.col("corpus_rate")).select("host", F.lit(True).alias("bad_host")), "reputation-blocked")
 
     rule, verdict = F.lit(None).cast("string"), F.when(F.coalesce(F.col("bad_host"), F.lit(False)), "block").otherwise("allow")
     for kind, text in sorted(rules, key=lambda r: len(r[1])):
         at, prefix = text[: text.index("/")], text[text.index("/") :]
         fits = ((F.col("host") == at) | F.col("host").endswith(f".{at}")) & F.col("path").startswith(prefix)
         rule, verdict = F.when(fits, text).otherwise(rule), F.when(fits, kind).otherwise(verdict)
-    return rows.join(found, "host", "left").select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+    if blocked.count() <= BROADCAST_HOSTS:
+        joined = rows.join(F.broadcast(blocked), "host", "left")
+    else:
+        joined = spread_join(rows, blocked, ["host"], ["id", "path"], how="left")
+    return joined.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("verdict"))
 
 
 def allowed(pages: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -125,7 +141,7 @@ WITH urls AS (
   GROUP BY host
 ), labelled AS (
   SELECT *, string_split(name, '.') AS p,
-         array_to_string(string_split(name, '.')[-2:], '.') IN ('co.uk','org.uk','ac.uk','com.au','co.jp','co.nz','com.br','co.in','co.za','com.cn') AS two
+         regexp_matches(array_to_string(string_split(name, '.')[-2:], '.'), '^(ac|co|com|edu|gov|net|org)\.[a-z][a-z]$') AS two
   FROM names
 ), hosts AS (
   SELECT host, n, k,
@@ -165,7 +181,7 @@ WITH urls AS (
   SELECT coalesce(greatest(2.0, least(1000.0, CASE WHEN (s - (g - 1)) / CASE WHEN t - q / t - (g - 1) > 0 THEN t - q / t - (g - 1) END > 0
                                      THEN 1 / ((s - (g - 1)) / (t - q / t - (g - 1))) - 1 ELSE 1000.0 END)), 1000.0) AS m FROM host_scatter
 ), host_bound AS (
-  SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (n + m + 1)) > 0.35 AS bad
+  SELECT host, rate - 1.645 * sqrt(rate * (1 - rate) / (n + m + 1)) > 1.0 * (SELECT sum(k)::DOUBLE / sum(n) FROM suffixes) AS bad
   FROM (SELECT host, n, m, (k + m * prior) / (n + m) AS rate FROM host_prior, host_strength)
 ), fitting AS (
   SELECT u.page_id, u.host, u.path, b.bad,

@@ -38,6 +38,23 @@ def test_bad_hosts_are_blocked_and_priors_hold_back_small_ones(spark):
     assert ("one.fine.net", "allow") in verdicts and all(v == "allow" for h, v in verdicts if h != "bad.site.net")
 
 
+def test_many_blocked_hosts_are_joined_by_host(spark, monkeypatch):
+    from tallyloom.llm import hot
+
+    pages = [(k, f"http://{'bad' if k % 2 else 'good'}{k % 6}.a{k % 6}.net/x/{k}", None) for k in range(600)] + [(1000 + k, "http://bad1.a1.net/no-number", None) for k in range(50)]
+    labels = [(k, 1 - k % 2, 0, "h") for k in range(600)]
+    wanted = judged(spark, pages, labels)
+    assert {(r[1], r[4]) for r in wanted} == {(f"{'bad' if k % 2 else 'good'}{k}.a{k}.net", "block" if k % 2 else "allow") for k in range(6)}
+    monkeypatch.setattr(url_reputation, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(hot, "SLICE_ROWS", 30)
+    assert judged(spark, pages, labels) == wanted
+
+
+def test_long_urls(spark):
+    long = "http://A.com/" + "x" * 200_000 + "/7?" + "y" * 200_000
+    assert judged(spark, [(1, long, None)]) == [(1, "a.com", "/" + "x" * 200_000 + "/7", None, "allow")]
+
+
 def test_empty_tables(spark):
     assert judged(spark, []) == []
     assert judged(spark, [(1, "http://a.net/x/5", None)]) == [(1, "a.net", "/x/5", None, "allow")]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import words
 from tallyloom.llm.components import connected_components
+from tallyloom.llm.hot import spread_join
 from tallyloom.llm.scratch import materialize, text_batches
 
 #: Words in a shingle and percent of likeness from which documents are linked.
@@ -106,7 +107,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of ids whose sets are alike by ``percent`` or more."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    both = spread_join(pairs, left, ["a"], ["b"]).join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
     return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
@@ -117,22 +118,24 @@ def _across(sets: DataFrame, of: DataFrame, percent: int) -> DataFrame:
     one of the first n - ceil(n * percent / 100) + 1. In each shingle's group only what lies outside its largest
     component is paired with the rest, so that a large group of copies is not paired with itself. A pair leaves the
     join only if the bits in which its parity sketches differ, which are never more than the shingles in which the sets
-    differ, are no more than ``percent`` allows.
+    differ, are no more than ``percent`` allows. A shingle that very many sets hold is split before every join.
     """
     rows = sets.join(of, "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
     shared = rows.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("c > 1")
-    held = rows.join(shared, "t")
+    held = spread_join(rows, shared, ["t"], ["id"], counts=shared.select("t", F.col("c").alias("n")))
     place = F.row_number().over(Window.partitionBy("id").orderBy("c", "t"))
     alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))
     length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
     prefix = held.withColumn("place", place + alone).where(F.col("place") <= length).where("lo <> hi").select("t", "id", "component", "n")
     parts = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
     prefix = materialize(prefix.join(sets.select("id", *parts), "id"), "minmax-prefix")
-    main = prefix.groupBy("t", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max(F.struct("c", "component")).alias("most"))
-    outside = prefix.join(main, "t").where("component <> most.component").select("t", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *[F.col(f"s{k}").alias(f"o{k}") for k in range(SKETCH)])
+    groups = prefix.groupBy("t", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max(F.struct("c", "component")).alias("most"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    groups = materialize(groups.select("t", F.col("most.component").alias("main"), "n"), "minmax-groups")
+    several = spread_join(prefix, groups.select("t", "main"), ["t"], ["id"], counts=groups.select("t", "n"))
+    outside = several.where("component <> main").select("t", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *[F.col(f"s{k}").alias(f"o{k}") for k in range(SKETCH)])
     apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"o{k}"))) for k in range(SKETCH)), F.lit(0))
     near = (F.col("ca") != F.col("component")) & (100 * F.least("na", "n") >= percent * F.greatest("na", "n")) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("n")))
-    return outside.join(prefix, "t").where(near).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    return spread_join(several.drop("main"), outside, ["t"], ["id"], counts=groups.select("t", "n")).where(near).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -42,6 +42,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _powers: list[np.ndarray] = []
+#: A prime, and a base for it: words that agree modulo 2**64 whatever its base, which there are, still differ here.
+_PRIME, _PRIME_BASE = (1 << 31) - 1, 1_234_567_891
+_prime_powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +55,19 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _prime_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo the prime."""
+    if not _prime_powers or len(_prime_powers[0]) <= n:
+        size, out = max(n, CHUNK_BYTES) + 1, []
+        for base in (_PRIME_BASE, pow(_PRIME_BASE, -1, _PRIME)):
+            table = np.ones(1, np.uint64)
+            while len(table) < size:
+                table = np.concatenate([table, table * np.uint64(pow(base, len(table), _PRIME)) % np.uint64(_PRIME)])
+            out.append(table[:size])
+        _prime_powers[:] = out
+    return _prime_powers[0], _prime_powers[1]
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offsets of its rows; null is empty."""
     column = column.fill_null("").cast(pa.large_string())
@@ -86,7 +102,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     power, inverse = _power_tables(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(value[data] * power[:n], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts]), np.searchsorted(starts, offsets), starts, ends
+    found = mix64((sums[ends] - sums[starts]) * inverse[starts])
+    prime, (power, inverse) = np.uint64(_PRIME), _prime_tables(n)
+    small = (value >> np.uint64(33)).astype(np.uint64)
+    np.cumsum(small[data] * power[:n] % prime, out=sums[1:])
+    found ^= mix64((sums[ends] - sums[starts]) % prime * inverse[starts] % prime + np.uint64(1) << np.uint64(32))
+    return found, np.searchsorted(starts, offsets), starts, ends
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> Iterator[np.ndarray]:

@@ -1,6 +1,8 @@
 import random
 
-from tallyloom.llm import minmax_dedup
+import numpy as np
+
+from tallyloom.llm import minmax_dedup, words
 
 
 def words_of(text):
@@ -78,3 +80,24 @@ def test_id_with_two_texts_links_both_groups(spark):
     a, b = "a b c d e f g h i j", "k l m n o p q r s t"
     df = spark.createDataFrame([(1, a), (5, a), (5, b), (8, b)], "doc_id long, text string")
     assert {r.component_id for r in minmax_dedup.near_duplicates(df).collect()} == {1}
+
+
+def test_words_that_collide_modulo_a_power_of_two_differ():
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    one, other = (bytes(97 + (b ^ flip) for b in bits) for flip in (0, 1))
+    data = np.frombuffer(one + b" " + other + b" " + one.upper(), np.uint8)
+    hashes, _, _, _ = words.word_hashes(data, np.array([0, len(data)]))
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+
+
+def test_recall_of_bands_at_the_bound():
+    """Of pairs of sets of likeness 0.8, at most one in a thousand may share no band."""
+    rng = np.random.default_rng(3)
+    missed = 0
+    for size in (20, 60, 300):
+        for _ in range(700):
+            common = rng.integers(0, 1 << 63, size * 8 // 10 * 2, np.uint64)
+            own = rng.integers(0, 1 << 63, (2, len(common) // 8), np.uint64)
+            _, _, _, keys = minmax_dedup._set_columns([np.unique(np.concatenate([common, o])) for o in own], minmax_dedup.BANDS, minmax_dedup.ROWS)
+            missed += not (keys[0] == keys[1]).any()
+    assert missed <= 2

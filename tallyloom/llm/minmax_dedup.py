@@ -105,6 +105,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) of ids whose sets are alike by ``percent`` or more."""
+    pairs = materialize(pairs, "minmax-pairs")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = spread_join(pairs, left, ["a"], ["b"]).join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))

@@ -46,7 +46,7 @@ def op9_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return packing.write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch.new_path(spark, "packed"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,9 +1,46 @@
 import hashlib
+import math
 import random
 
 from tallyloom.llm import quartile_digest as q
 
 
+def plain_digest(data):
+    """The digest by plain loops over windows and triplets, in integers of 32 bits."""
+    most, counts = (1 << 32) - 1, [0] * 128
+    salts = [0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D]
+    for end in range(4, len(data)):
+        for salt, (j, k) in zip(salts, [(1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (3, 4)]):
+            h = data[end] * 0x2C1B3C6D & most ^ data[end - j] * 0x297A2D39 + salt & most
+            h = h * 0x85EBCA6B + data[end - k] * 0x7FEB352D & most
+            h = (h ^ h >> 15) * 0x846CA68B & most
+            counts[h >> 25] += 1
+    ordered = sorted(counts)
+    q1, q2, q3 = ordered[31], ordered[63], ordered[95]
+    digits = [sum(c > q for q in (q1, q2, q3)) for c in counts]
+    body = "".join(f"{a * 64 + b * 16 + c * 4 + d:02x}" for a, b, c, d in zip(*[iter(digits)] * 4))
+    return f"{min(255, round(8 * math.log2(1 + len(data)))):02x}" + "".join(f"{15 * q // q3 if q3 else 0:x}" for q in (q1, q2)) + body
+
+
+def plain_likeness(a, b):
+    """One less the bounded differences of the parts, in shares of the greatest: length, quartile shares, buckets."""
+    lost = min(24, abs(int(a[:2], 16) - int(b[:2], 16))) + sum(min(12, abs(int(a[k], 16) - int(b[k], 16))) for k in (2, 3))
+    for x, y in zip(a[4:], b[4:]):
+        for shift in (2, 0):
+            lost += {0: 0, 1: 1, 2: 2, 3: 6}[abs((int(x, 16) >> shift & 3) - (int(y, 16) >> shift & 3))]
+    return 1 - lost / (24 + 12 + 12 + 6 * 128)
+
+
+def test_digests_against_plain_loops():
+    rng = random.Random(9)
+    texts = [b"", b"abcd", b"abcde"] + [bytes(rng.choice(b"etaoin shr\xc3\xa9") for _ in range(rng.choice([5, 40, 900, 5000]))) for _ in range(30)]
+    digests = [q.fingerprint(t) for t in texts]
+    assert digests == [plain_digest(t) for t in texts]
+    for a in digests:
+        for b in digests[:12]:
+            assert abs(q.likeness(a, b) - plain_likeness(a, b)) < 1e-12
+
+
 def test_rows_against_a_plain_loop(spark):
     rng = random.Random(8)
     rows = [(k * 3, "".join(rng.choice("abc déf漢 ") for _ in range(rng.choice([0, 1, 2, 5, 300])))) for k in range(90)]
@@ -20,9 +57,9 @@ def test_rows_against_a_plain_loop(spark):
         edited = text[: len(text) - half] + after[:half]
         (r,) = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (q.fingerprint(text.encode()), q.fingerprint(edited.encode()))
-        assert r.near_edited == q.likeness(r.fingerprint, r.edited_fingerprint)
-        assert r.near_next == q.likeness(r.fingerprint, q.fingerprint(after.encode()))
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_digest(text.encode()), plain_digest(edited.encode()))
+        assert abs(r.near_edited - plain_likeness(r.fingerprint, r.edited_fingerprint)) < 1e-12
+        assert abs(r.near_next - plain_likeness(r.fingerprint, plain_digest(after.encode()))) < 1e-12
     # The row without an id is last, so the first, one of 1001, follows it.
     (r,) = got[None]
     assert r.edited_sha256 in {hashlib.sha256(("z z z" + a[:4]).encode()).hexdigest() for a in ("x" * 5000, "y")}

@@ -22,6 +22,8 @@ from tallyloom.llm.words import constants
 
 #: Length of the vectors; characters handled at a time; the language of texts without letters.
 DIM, SPAN_CHARS, NONE = 1024, 1 << 19, "und"
+#: Least cosine of a text in a learnt language: two standard deviations of the cosine of unrelated vectors of length DIM.
+MIN_SCORE = 2 / DIM**0.5
 _UNIT = 1 << 24
 
 
@@ -136,8 +138,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim:
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (cosine, 0 to 1), which replace columns of these names.
 
-    Null texts and texts without a letter, and all texts if no language was learnt, are "und" with score 0. Every row
-    stays, with its id, null or repeated as it may be. No shuffle.
+    Null texts and texts without a letter, and all texts if no language was learnt, are "und" with score 0. Of languages
+    of equal cosine the first in order of their names is taken. Every row stays, with its id, null or repeated as it may be. No shuffle.
     """
     text_batches(docs.sparkSession)
     langs, prototypes = model
@@ -166,14 +168,15 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(rows.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """``docs`` without those that have no letter, or whose language is found with less than ``min_score``; columns as they are.
+def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """``docs`` without those that are in no learnt language: that have no letter, or whose best prototype's cosine is less
+    than ``min_score``; columns as they are.
 
-    Scores are 0 at least, so that the default of ``min_score`` rejects nothing. If no language was learnt, every text with
-    a letter scores 0 and stays with that default.
+    Null and empty texts have no letter. If no language was learnt, every text with a letter stays. Repeated and null ids
+    are judged row by row; columns may have any names.
     """
     model = learn(docs.where(~held_out(F.col("doc_id"))))
     if not model[0]:
-        model = ["any"], np.zeros((1, DIM), np.float32)
+        model, min_score = (["any"], np.zeros((1, DIM), np.float32)), 0.0
     found = predict(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), model, "in_text")
     return found.where((F.col("lang_pred") != NONE) & (F.col("score") >= min_score)).select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm import words
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.hot import spread_join
-from tallyloom.llm.scratch import materialize, text_batches
+from tallyloom.llm.scratch import materialize, text_batches, unused
 
 #: Words in a shingle and percent of likeness from which documents are linked.
 WIDTH, PERCENT = 5, 80
@@ -185,10 +185,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat an id, one row stays. Rows without an id, and rows without words, stay as they are.
     """
     found = near_duplicates(docs, id_col, text_col, width, percent)
-    gone = found.where("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    left = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__twice"))
-    once = left.join(repeated, left[id_col] == repeated["__twice"], "left_anti")
-    twice = left.join(repeated, left[id_col] == repeated["__twice"], "left_semi")
+    gone, again, place = (unused(c, docs.columns) for c in ("gone", "again", "place"))
+    left = docs.join(found.where("NOT kept").select(F.col(id_col).alias(gone)).distinct(), F.col(id_col) == F.col(gone), "left_anti")
+    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").select(F.col(id_col).alias(again))
+    once = left.join(repeated, F.col(id_col) == F.col(again), "left_anti")
+    twice = left.join(repeated, F.col(id_col) == F.col(again), "left_semi")
     order = Window.partitionBy(id_col).orderBy(F.length(text_col).desc_nulls_last(), F.xxhash64(text_col))
-    return once.unionByName(twice.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place"))
+    return once.unionByName(twice.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).drop(place))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm import words
-from tallyloom.llm.scratch import materialize, text_batches
+from tallyloom.llm.scratch import materialize, text_batches, unused
 from tallyloom.llm.suffix_groups import repeated_runs
 
 #: Bytes of a window and of the k-grams of which each window has one as its minimizer.
@@ -346,7 +346,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated strings cut out of their texts, and ``length_col`` (if there) set to what is left in characters.
 
     Cuts fall between bytes; where one splits a character, its stray bytes go, too. A null text stays null; a text of which
-    nothing is left stays as an empty one.
+    nothing is left stays as an empty one. Columns may have any names.
     """
     text_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -354,9 +354,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), text.alias("text"))
     found = repeated_ranges(rows.where(f"id IS NOT NULL AND octet_length(text) >= {LENGTH}"))
     ranges = materialize(found.groupBy("id", "v").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "strands-ranges")
-    joined = docs.join(ranges.select(F.col("id").alias("__id"), F.col("v").alias("__v"), "ranges"), (F.col(id_col).cast("long") == F.col("__id")) & (v == F.col("__v")), "left")
-
     names = docs.columns
+    other_id, other_v, cuts = (unused(c, names) for c in ("other_id", "other_v", "cuts"))
+    found = ranges.select(F.col("id").alias(other_id), F.col("v").alias(other_v), F.col("ranges").alias(cuts))
+    joined = docs.join(found, (F.col(id_col).cast("long") == F.col(other_id)) & (v == F.col(other_v)), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_col)
@@ -368,7 +369,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = joined.select(*[docs[c] for c in docs.columns], "ranges").mapInArrow(cut, docs.schema)
+    out = joined.select(*[F.col(f"`{c}`") for c in names], cuts).mapInArrow(cut, docs.schema)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
     return out

@@ -24,7 +24,7 @@ def _grouped(symbols: np.ndarray, ends: int) -> tuple[list[int], list[int], list
     by_order = np.repeat(heads, sizes)
     group_of, place_of = np.empty_like(order), np.empty_like(order)
     group_of[order], place_of[order] = by_order, np.arange(len(order))
-    order, group, place, prev = order.tolist(), group_of.tolist(), place_of.tolist(), [0] * len(order)
+    order, group, place, prev = order.tolist(), group_of.tolist(), place_of.tolist(), [-1] * len(order)
     size = [0] * len(order)
     for h, s in zip(heads.tolist(), sizes.tolist(), strict=True):
         size[h] = s
@@ -46,31 +46,39 @@ def _grouped(symbols: np.ndarray, ends: int) -> tuple[list[int], list[int], list
                 size[g], size[last], group[p] = s - 1, 1, last
         else:
             found: dict[int, int] = {}
-            for i in sorted(order[at:end]):
-                p = i - 1
-                while group[p] >= at:
-                    p = prev[p]
-                prev[i] = p
-                if group[p]:
-                    found[p] = found.get(p, 0) + 1
-            if found:
-                levels = sorted(set(found.values()), reverse=True)
-                for level in levels:
-                    moved: dict[int, list[int]] = {}
-                    for p in found if len(levels) == 1 else [p for p, n in found.items() if n == level]:
-                        g = group[p]
-                        s = size[g] = size[g] - 1
-                        last, k = g + s, place[p]
-                        q = order[last]
-                        order[k], place[q], order[last], place[p] = q, k, p, last
-                        moved.setdefault(g, []).append(p)
-                    for g, members in moved.items():
-                        if s := size[g]:
-                            size[g + s] = len(members)
-                            for p in members:
-                                group[p] = g + s
-                        else:
-                            size[g] = len(members)
+            for i in order[at:end]:
+                if prev[i] >= 0:
+                    continue
+                walk = [(i, i - 1)]  # members whose pointer waits for that of an earlier member
+                while walk:
+                    i, p = walk.pop()
+                    while group[p] >= at and (q := prev[p]) >= 0:
+                        p = q
+                    if group[p] >= at:
+                        walk += [(i, p), (p, p - 1)]
+                        continue
+                    prev[i] = p
+                    if group[p]:
+                        found[p] = found.get(p, 0) + 1
+            levels: dict[int, list[int]] = {}
+            for p, n in found.items():
+                levels.setdefault(n, []).append(p)
+            for level in sorted(levels, reverse=True):  # different counts of the group's members, so few that sorting them is linear in its size
+                moved: dict[int, list[int]] = {}
+                for p in levels[level]:
+                    g = group[p]
+                    s = size[g] = size[g] - 1
+                    last, k = g + s, place[p]
+                    q = order[last]
+                    order[k], place[q], order[last], place[p] = q, k, p, last
+                    moved.setdefault(g, []).append(p)
+                for g, members in moved.items():
+                    if s := size[g]:
+                        size[g + s] = len(members)
+                        for p in members:
+                            group[p] = g + s
+                    else:
+                        size[g] = len(members)
         end = at
     return order, group, prev
 

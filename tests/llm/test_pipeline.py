@@ -62,3 +62,24 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.collect() == []
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark, tmp_path):
+    names = ["ranges", "cuts", "other_id", "gone", "again", "place", "id", "v", "lang_pred", "score", "seed", "key", "shifts", "component", "kept", "held_out", "n_tokens"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    text = "some words that are long enough to be repeated as a passage of more than one hundred bytes, again and again and again"
+    rows = [(1, text), (2, text), (2, text + " x"), (None, text), (None, None), (3, None), (4, ""), (5, "12 34"), (6, "\u0436\u0449\u044f " * 9), (7, "more words of another kind " * 4000)]
+    docs = spark.createDataFrame([(i, t, None if i == 6 else "en", "s", len(t or ""), *names) for i, t in rows], schema).repartition(3)
+    spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q r s t u v")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        left[name] = sorted((r.doc_id or 0, len(r.text or "")) for r in out.collect())
+        assert all(r[c] == c for r in out.collect() for c in names)
+    assert [i for i, _ in left["language_id"]] == [0, 1, 2, 2, 7]
+    assert [i for i, _ in left["near_dedup"]] == [0, 0, 1, 3, 4, 5, 6, 7]
+    assert dict(left["suffix_dedup"])[1] == len(text) and dict(left["suffix_dedup"])[7] < 200 and not {3, 4} & set(dict(left["suffix_dedup"]))
+    assert len(left["decontamination"]) == len(rows)
+    last = corpus_pipeline.tokens(spark, docs, str(tmp_path))
+    assert set(names) <= {*last.columns} and last.count() == len(rows)

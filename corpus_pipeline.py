@@ -15,27 +15,30 @@ from tallyloom.llm import bpe_stream, hd_language, minmax_dedup, scratch, spaced
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without text, go; their language can't be told."""
+    """Documents in none of the languages that the labelled ones are in go: those without text or a letter, and those whose best
+    prototype is no nearer than an unrelated vector may be. Null and repeated ids are judged row by row."""
     return hd_language.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (shingles of five words, likeness 0.8) the document of the smallest id stays."""
+    """Of each group of near duplicates (shingles of five words, likeness 0.8) the document of the smallest id stays.
+    Documents without words, and rows without an id, stay; of rows that repeat an id one stays."""
     return minmax_dedup.deduplicate(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 100 bytes that an earlier one covers are cut out; documents of which nothing is left go."""
+    """Strings of 100 bytes that an earlier one covers are cut out; documents of which nothing is left go, as do null and empty
+    ones. Rows without an id lose nothing."""
     return suffix_dedup.deduplicate(docs).where("text <> ''")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with a benchmark item go."""
+    """Documents that overlap with a benchmark item go. Null and empty texts and rows without an id stay; so does all without items."""
     return spaced_seeds.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and digests in place of the texts."""
+    """Token ids and digests in place of the texts; a null text has no tokens. Other columns stay, whatever their names."""
     return bpe_stream.encode_documents(docs)
 
 

@@ -62,4 +62,4 @@ def test_nothing_to_learn(spark):
 def test_texts_with_letters_stay_if_nothing_is_learnt(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, "12 !", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in h.keep_known(df).collect()) == [1, 4]
-    assert h.keep_known(df, 0.5).collect() == []
+    assert sorted(r.doc_id for r in h.keep_known(df, 0.5).collect()) == [1, 4]

@@ -101,3 +101,13 @@ def test_recall_of_bands_at_the_bound():
             _, _, _, keys = minmax_dedup._set_columns([np.unique(np.concatenate([common, o])) for o in own], minmax_dedup.BANDS, minmax_dedup.ROWS)
             missed += not (keys[0] == keys[1]).any()
     assert missed <= 2
+
+
+def test_long_texts(spark):
+    rng = random.Random(7)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    near = [w if k % 60 else "x" for k, w in enumerate(long)]  # each change breaks five shingles of 60
+    far = [w if (k + 7) % 24 else "y" for k, w in enumerate(long)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate((long, near, far, long[::-1]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minmax_dedup.near_duplicates(df).collect()}
+    assert {k: c for k, (_, c) in got.items()} == {0: 0, 1: 0, 2: 2, 3: 3} and got[0][0] == 59_996

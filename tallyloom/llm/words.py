@@ -105,7 +105,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     found = mix64((sums[ends] - sums[starts]) * inverse[starts])
     prime, (power, inverse) = np.uint64(_PRIME), _prime_tables(n)
     small = (value >> np.uint64(33)).astype(np.uint64)
-    np.cumsum(small[data] * power[:n] % prime, out=sums[1:])
+    terms = small[data] * power[:n]  # under 2**62; folded by 31 bits, which keeps the remainder
+    np.cumsum((terms & prime) + (terms >> np.uint64(31)), out=sums[1:])
     found ^= mix64((sums[ends] - sums[starts]) % prime * inverse[starts] % prime + np.uint64(1) << np.uint64(32))
     return found, np.searchsorted(starts, offsets), starts, ends
 

@@ -86,19 +86,19 @@ def vocabulary(path: str) -> Vocabulary:
 
 def merged(vocab: Vocabulary, piece: bytes) -> list[int]:
     """Ids of a piece, by applying the merge of least rank, leftmost first, until none applies."""
-    ids = [vocab.byte_ids[b] for b in piece]
+    ids = list(map(vocab.byte_ids.__getitem__, piece))
     if len(ids) > 48:
         return _merged_long(vocab, ids)
     get, made, none = vocab.ranks.get, vocab.made, 1 << 60
     ranks = [get(p, none) for p in zip(ids, ids[1:])]
     while ranks and (rank := min(ranks)) != none:
         at = ranks.index(rank)
-        ids[at : at + 2] = [made[rank]]
-        del ranks[at]
+        new = ids[at] = made[rank]
+        del ids[at + 1], ranks[at]
         if at:
-            ranks[at - 1] = get((ids[at - 1], ids[at]), none)
+            ranks[at - 1] = get((ids[at - 1], new), none)
         if at < len(ranks):
-            ranks[at] = get((ids[at], ids[at + 1]), none)
+            ranks[at] = get((new, ids[at + 1]), none)
     return ids
 
 
@@ -131,12 +131,12 @@ class Encoder(dict):
     """
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.pending, self.held, self.streamed = vocab, b"", 0, 0
+        self.vocab, self.pending, self.held, self.streamed, self.most = vocab, b"", 0, 0, 4 * vocab.lookahead
 
     def feed(self, data: bytes) -> list[int]:
         self.pending += data
         out, at = [], 0
-        if len(self.pending) > 4 * self.vocab.lookahead:
+        if len(self.pending) > self.most:
             for i in merged(self.vocab, self.pending):
                 if at + len(self.vocab.bytes_of[i]) > len(self.pending) - self.vocab.lookahead:
                     break
@@ -158,7 +158,11 @@ class Encoder(dict):
         yield pack(self.finish())
 
     def __missing__(self, piece: str) -> bytes:
-        found = b"".join(self.stream(piece))
+        self.streamed += 1
+        ids: list[int] = []
+        for at in range(0, len(piece), STEP_CHARS):
+            ids += self.feed(piece[at : at + STEP_CHARS].encode())
+        found = pack(ids + self.finish())
         self.held += 4 * len(piece) + len(found)
         if self.held > MEMO_BYTES:
             self.clear()

@@ -1,76 +1,5 @@
-"""Intermediate tables in the folder that all executors share.
+"""Intermediate tables, see ``tallyloom.functions.scratch``, where the core has them too."""
 
-``materialize`` cuts lineage by writing Parquet under ``spark.checkpoint.dir`` and reading it back,
-so a lost executor costs the running tasks only, never what was already computed.
-"""
+from tallyloom.functions.scratch import LOCAL_FOLDER, clear, folder, materialize, new_path, text_batches, unused
 
-from __future__ import annotations
-
-import atexit
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-#: Used only where the session names no folder and runs on this machine alone, as in tests.
-LOCAL_FOLDER = "/tmp/checkpoints"
-_cleared_at_exit: set[str] = set()
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder of this application, taken from ``spark.checkpoint.dir``; it is deleted when Python ends.
-
-    On a cluster a session that names none is an error, for executors share no other folder.
-    """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = LOCAL_FOLDER
-    if context.applicationId not in _cleared_at_exit:
-        _cleared_at_exit.add(context.applicationId)
-        atexit.register(_clear_at_exit, spark)
-    return f"{base.rstrip('/')}/tallyloom-{context.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, with the schema it had."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unused(name: str, columns: list[str]) -> str:
-    """``name``, with underscores before it while a column has it."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
-def text_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches for columns of whole texts, unless the session has its own setting.
-
-    At Spark's default of 10,000 rows a batch of long texts and its copies take a large part of an executor's memory.
-    """
-    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")):
-        if spark.conf.get(key) == default:
-            spark.conf.set(key, value)
-
-
-def _clear_at_exit(spark: SparkSession) -> None:
-    process = getattr(spark.sparkContext._gateway, "proc", None)
-    if spark.sparkContext._jsc is not None and (process is None or process.poll() is None):
-        clear(spark)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete every intermediate table of this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["LOCAL_FOLDER", "clear", "folder", "materialize", "new_path", "text_batches", "unused"]

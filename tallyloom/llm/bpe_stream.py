@@ -5,7 +5,8 @@ merges of rising rank, each of which takes the left part of the merge before it
 is the longest text such a chain spans in the given merge list. So when so many bytes follow a token, it is stable
 and leaves the encoder, and a piece of any length is encoded in memory that does not depend on its length.
 Every piece, short or long, passes through the one encoder; what it gave for recent pieces is remembered in it. Between
-pieces the library's splitting pattern and special tokens apply as they are.
+pieces the library's splitting pattern and special tokens apply as they are. ``Tokenizer.encode_all``, for those who only
+want ids, lets the encoder learn short pieces of several texts side by side, which is cheaper.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import heapq
 import json
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +38,10 @@ FIND_ANY, WIDE = regex.compile(PATTERN).findall, re.compile("[^\x00-ɏ]").search
 CUT = regex.compile(r"(?<=\p{L})(?!\p{L})|(?<=\p{N})(?!\p{N})|(?<=\S)(?=\s)")
 #: Characters of a long text that are split into pieces at a time, and that the encoder is fed with at a time; what its memory of pieces holds.
 SPAN_CHARS, STEP_CHARS, MEMO_BYTES = 1 << 16, 256, 1 << 25
+#: Characters of texts whose pieces are learnt together, bytes of the longest such piece, and pieces that are merged side by side.
+LEARN_CHARS, LEARN_BYTES, LEARN_ROWS = 1 << 19, 32, 8192
+#: In ``merged_together``: the rank of a pair that does not merge.
+NEVER = np.int32(2**31 - 1)
 
 
 def default_vocabulary() -> str:
@@ -76,8 +81,35 @@ class Vocabulary:
             for t in (x, x + u):
                 reach[t] = max(reach.get(t, 0), span)
             self.lookahead = max(self.lookahead, span)
+        # The same ranks by pairs as one number, in a table with free slots after each other's.
+        self.end = max(self.bytes_of) + 1  # no token
+        pairs = np.array([x << 32 | u for x, u in self.ranks], np.int64)
+        self.slots = 2 << (16 * len(pairs)).bit_length()
+        self.pair_at, self.rank_at = np.full(self.slots, -1, np.int64), np.full(self.slots, NEVER, np.int32)
+        for pair, slot, rank in zip(pairs.tolist(), self.slot(pairs).tolist(), self.ranks.values()):
+            while self.pair_at[slot] >= 0:
+                slot = (slot + 1) % self.slots
+            self.pair_at[slot], self.rank_at[slot] = pair, rank
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def slot(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - self.slots.bit_length())).view(np.int64)
+
+    def ranks_of(self, x: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, NEVER for those that do not merge."""
+        pairs = x << 32 | u
+        at = self.slot(pairs)
+        there = self.pair_at[at]
+        out = np.where(there == pairs, self.rank_at[at], NEVER)
+        more = np.flatnonzero((there != pairs) & (there >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) % self.slots
+            there = self.pair_at[at[more]]
+            same = there == pairs[more]
+            out[more[same]] = self.rank_at[at[more[same]]]
+            more = more[~same & (there >= 0)]
+        return out
+
 
 @lru_cache(4)
 def vocabulary(path: str) -> Vocabulary:
@@ -123,6 +155,44 @@ def _merged_long(vocab: Vocabulary, ids: list[int]) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
+def merged_together(vocab: Vocabulary, pieces: Sequence[bytes]) -> list[bytes]:
+    """Packed ids of each piece, as ``merged`` gives them: in each step every piece does its merge of least rank, leftmost first."""
+    if not pieces:
+        return []
+    sizes = np.array([len(p) for p in pieces])
+    n, width = len(pieces), int(sizes.max()) + 1
+    # A row's cells; the last one is free in each, and stands for what is left of the first and right of the last id.
+    matrix = np.full((n, width), vocab.end, np.int64)
+    matrix[np.arange(width) < sizes[:, None]] = np.array(vocab.byte_ids, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)]
+    ranks = np.full((n, width), NEVER)
+    ranks[:, :-1] = vocab.ranks_of(matrix[:, :-1].ravel(), matrix[:, 1:].ravel()).reshape(n, width - 1)
+    ids, made = matrix.reshape(-1), np.array(vocab.made, np.int64)
+    after, before = np.arange(1, n * width + 1), np.arange(-1, n * width - 1)
+    start = np.arange(n) * width
+    before[start] = start + width - 1
+    while True:
+        at = ranks.argmin(1)
+        least = ranks[np.arange(len(at)), at]
+        on = least != NEVER
+        if not on.all():
+            ranks, start, at, least = ranks[on], start[on], at[on], least[on]
+        if not len(at):
+            break
+        here, new = start + at, made[least]
+        gone, left = after[here], before[here]
+        right = after[gone]
+        ids[here], ids[gone] = new, vocab.end
+        after[here], before[right] = right, here
+        flat, shift = ranks.reshape(-1), np.arange(len(at)) * width - start
+        flat[gone + shift] = NEVER
+        flat[here + shift] = vocab.ranks_of(new, ids[right])
+        flat[left + shift] = vocab.ranks_of(ids[left], new)
+    kept = matrix != vocab.end
+    ends = np.cumsum(4 * kept.sum(1)).tolist()
+    data = matrix[kept].astype("<u4").tobytes()
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Encoder(dict):
     """The transducer: ``feed`` takes bytes of a piece and returns ids that no later byte can change, ``finish`` the rest.
 
@@ -170,6 +240,23 @@ class Encoder(dict):
         self[piece] = found
         return found
 
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Packed ids of each of the pieces. Those not remembered that have LEARN_BYTES at most are merged together, others streamed."""
+        if self.held > MEMO_BYTES:
+            self.clear()
+            self.held = 0
+        out = dict(zip(pieces, map(self.get, pieces)))
+        missing = [p for p, found in out.items() if found is None]
+        short = [p for p in missing if 4 * len(p) <= LEARN_BYTES or len(p.encode()) <= LEARN_BYTES]
+        for at in range(0, len(short), LEARN_ROWS):
+            part = short[at : at + LEARN_ROWS]
+            found = merged_together(self.vocab, [p.encode() for p in part])
+            self.held += 4 * sum(map(len, part)) + sum(map(len, found))
+            self.update(zip(part, found, strict=True))
+            out.update(zip(part, found, strict=True))
+        out.update((p, self[p]) for p in missing if out[p] is None)
+        return out
+
 
 def _spans(text: str) -> Iterator[str]:
     """Parts of a long text, cut where no piece crosses; only a run of one kind of character makes a part longer than SPAN_CHARS."""
@@ -216,6 +303,25 @@ class Tokenizer:
                     else:
                         yield b"".join(map(self.encoder.__getitem__, self.find(span)))
 
+    def encode_all(self, texts: Iterable[str]) -> Iterator[Iterator[bytes]]:
+        """``encode`` of each text, in order; short pieces of LEARN_CHARS of them are learnt together."""
+        held: list[tuple[str, list[str] | None]] = []
+        size = 0
+
+        def flush() -> Iterator[Iterator[bytes]]:
+            ids_of = self.encoder.learn(set().union(*(pieces for _, pieces in held if pieces is not None))).__getitem__
+            for text, pieces in held:
+                yield self.encode(text) if pieces is None else iter((b"".join(map(ids_of, pieces)),))
+
+        for text in texts:
+            whole = len(text) <= SPAN_CHARS and not (self.vocab.split_special and self.vocab.split_special.search(text))
+            held.append((text, self.find(text) if whole else None))
+            size += len(text)
+            if size >= LEARN_CHARS:
+                yield from flush()
+                held, size = [], 0
+        yield from flush()
+
     def decode(self, parts: Iterator[bytes]) -> Iterator[str]:
         """Text of packed ids; bytes that are no UTF-8 become replacement characters, also across parts."""
         state = codecs.getincrementaldecoder("utf-8")("replace")

@@ -107,10 +107,11 @@ def _packed(path: str, length: int, block_tokens: int, pad: int) -> Callable[[It
             pieces, held, block = [], 0, block + 1
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            texts = (text.as_py() or "" for text in batch.column(1))
+            for i, parts in zip(batch.column(0).to_pylist(), tok.encode_all(texts), strict=True):
                 start = 0
                 rest = np.zeros(0, kind)
-                for part in tok.encode(text.as_py() or ""):
+                for part in parts:
                     rest = np.concatenate([rest, np.frombuffer(part, "<u4").astype(kind)])
                     full = len(rest) // length * length
                     for at in range(0, full, length):

@@ -109,3 +109,24 @@ def test_rows(spark, library):
         if r["rank"]:
             assert short[r["rank"]].ids_sha256 == r.ids_sha256
     assert bpe_stream.encode_documents(df.limit(0)).collect() == []
+
+
+def test_pieces_learnt_together_are_as_streamed(ours, library, monkeypatch):
+    rng = random.Random(12)
+    pieces = ["a", "é", " ", *{"".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40))) for alphabet in ("ab", " theringot", "éñß中🙂", "x01 .") for _ in range(300)}]
+    data = [p.encode() for p in pieces]
+    assert bpe_stream.merged_together(ours.vocab, data) == [bpe_stream.pack(bpe_stream.merged(ours.vocab, p)) for p in data]
+    assert bpe_stream.merged_together(ours.vocab, []) == []
+
+    monkeypatch.setattr(bpe_stream, "LEARN_CHARS", 500)
+    monkeypatch.setattr(bpe_stream, "MEMO_BYTES", 2000)
+    texts = ["", "the <|endoftext|> end", "word " * 20_000, "x" * 70_000, *(" ".join(rng.sample(pieces, 30)) for _ in range(40))]
+    ours.encoder.clear()
+    fed = []
+    merged = bpe_stream.merged
+    monkeypatch.setattr(bpe_stream, "merged", lambda v, p: fed.append(p) or merged(v, p))
+    found = [b"".join(parts) for parts in ours.encode_all(texts)]
+    assert found == [bpe_stream.pack(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    fed.clear()
+    ours.encoder.clear()
+    assert [b"".join(parts) for parts in ours.encode_all(["some short words", "and others"])] and not fed

@@ -6,8 +6,9 @@ a segment tree over capacities, which counts the open rows of each, finds that r
 exceed a row are split into full rows and a rest, so no token is lost. There is no shuffle, and memory is bounded by a block.
 
 ``write_shards`` writes the rows as binary shards to any store that Spark can write, and then their index from what it
-reads back. A shard is a run of records, each HEADER (big-endian), the id matrix's row, cumulative segment lengths (u32), the
-segments' first tokens (u64), their documents (a JSON list of texts) and a line feed, which Spark's text writer adds.
+reads back. A shard is a run of records, each HEADER (big-endian), the id matrix's row, its position ids (u16), cumulative
+segment lengths (u32), the segments' first tokens (u64), their documents (a JSON list of texts) and a line feed, which Spark's
+text writer adds.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from tallyloom.llm.scratch import text_batches
 #: Tokens in a row, tokens that are packed together, and the id that fills a row's end.
 LENGTH, BLOCK_TOKENS, PAD = 2048, 2_000_000, 0
 #: Of a record: marker, task, block, row, ids in the row, bytes of an id, tokens, segments, bytes of the documents' list. Records in a shard at most.
-HEADER, MARKER, SHARD_ROWS = ">4sIIIIIIII", b"PACK", 1024
+HEADER, MARKER, SHARD_ROWS = ">4sIIIIIIII", b"PCK2", 1024
 
 
 class CapacityTree:
@@ -133,10 +134,10 @@ def _packed(path: str, length: int, block_tokens: int, pad: int) -> Callable[[It
 
 
 def positions(ends: list[int], length: int) -> np.ndarray:
-    """Position ids of a row of segments that end there: each starts again at 0, as does what fills the row."""
-    out = np.zeros(length, "<u2")
+    """Position ids of a row of segments that end there: each starts again at 0; what fills the row has 0."""
+    out, steps = np.zeros(length, "<u2"), np.arange(length, dtype="<u2")
     for a, b in zip(ends, ends[1:]):
-        out[a:b] = np.arange(b - a)
+        out[a:b] = steps[: b - a]
     return out
 
 
@@ -182,9 +183,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 def write_shards(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS, pad: int = PAD) -> DataFrame:
     """Pack ``docs``, see ``pack``, into binary shards under ``to``/shards and their index, Parquet, under ``to``/index; returns the index.
 
-    The index has for each packed row its shard, the offset of its ids there, and the columns of ``read_shards`` other than
-    the ids, whose SHA-256 it holds as they were read back. Ids of documents come back in the type they had. Nulls, repeats
-    and empty tables are as in ``pack``.
+    The index has for each packed row its shard, the offsets of its ids and of its position ids there, and the columns of
+    ``read_shards`` other than these two, whose SHA-256 it holds as they were read back. Ids of documents come back in the type
+    they had. Nulls, repeats and empty tables are as in ``pack``.
     """
     _checked(length)
     spark = docs.sparkSession
@@ -197,7 +198,7 @@ def write_shards(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
             for task, block, row, ids, ends, of, starts in rows:
                 names = json.dumps(of).encode()
                 head = struct.pack(HEADER, MARKER, task, block, row, length, ids.itemsize, ends[-1], len(of), len(names))
-                out.append(head + ids.tobytes() + struct.pack(f"<{len(ends)}I", *ends) + struct.pack(f"<{len(starts)}Q", *starts) + names)
+                out.append(head + ids.tobytes() + positions(ends, length).tobytes() + struct.pack(f"<{len(ends)}I", *ends) + struct.pack(f"<{len(starts)}Q", *starts) + names)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     made = docs.select(F.col(id_col).cast("string"), F.col(text_col)).mapInArrow(records, "record binary")
@@ -207,11 +208,11 @@ def write_shards(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
     return spark.read.parquet(f"{to}/index")
 
 
-_READ = "shard string, offset long, task int, block int, row int, cu_seqlens array<int>, doc_ids array<string>, doc_starts array<long>, n_tokens int, n_segments int, ids_sha256 string"
+_READ = "shard string, offset long, positions_offset long, task int, block int, row int, cu_seqlens array<int>, doc_ids array<string>, doc_starts array<long>, n_tokens int, n_segments int, ids_sha256 string, positions_sha256 string"
 
 
 def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """What the shards under ``path`` hold: their records' columns, ids_sha256 and, if asked for, ids and position_ids as in ``pack``.
+    """What the shards under ``path`` hold: their records' columns, the digests of ids and position ids and, if asked for, both as in ``pack``.
 
     Documents come back as texts. A task holds one shard at a time, SHARD_ROWS records at most. A damaged shard is an error.
     """
@@ -219,18 +220,22 @@ def read_shards(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     names = [c.split()[0] for c in _READ.split(", ")] + ["ids", "position_ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.binary()]
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data, at, out = content.as_buffer(), 0, []
                 while at < len(data):
                     marker, task, block, row, length, size, tokens, n, listed = struct.unpack_from(HEADER, data, at)
                     offset = at + struct.calcsize(HEADER)
-                    a, b, c = offset + length * size, offset + length * size + 4 * (n + 1), offset + length * size + 4 * (n + 1) + 8 * n
+                    second = offset + length * size
+                    a = second + 2 * length
+                    b = a + 4 * (n + 1)
+                    c = b + 8 * n
                     if marker != MARKER or data[c + listed : c + listed + 1].to_pybytes() != b"\n":
                         raise ValueError(f"{shard}: no record at {at}")
-                    ids, ends = data[offset:a].to_pybytes(), list(struct.unpack(f"<{n + 1}I", data[a:b]))
-                    out.append((shard, offset, task, block, row, ends, json.loads(data[c : c + listed].to_pybytes()), list(struct.unpack(f"<{n}Q", data[b:c])), tokens, n, hashlib.sha256(ids).hexdigest(), *((ids, positions(ends, length).tobytes()) if with_ids else ())))
+                    ids, places, ends = data[offset:second], data[second:a], list(struct.unpack(f"<{n + 1}I", data[a:b]))
+                    digests = hashlib.sha256(ids).hexdigest(), hashlib.sha256(places).hexdigest()
+                    out.append((shard, offset, second, task, block, row, ends, json.loads(data[c : c + listed].to_pybytes()), list(struct.unpack(f"<{n}Q", data[b:c])), tokens, n, *digests, *((ids.to_pybytes(), places.to_pybytes()) if with_ids else ())))
                     at = c + listed + 1
                 columns = list(zip(*out, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=False)], names)

@@ -81,3 +81,17 @@ def test_shards_come_back_as_packed(spark, monkeypatch):
             ids = f.read(128)
         assert ids == bytes(other.ids) and hashlib.sha256(ids).hexdigest() == r.ids_sha256
     assert packing.write_shards(kept.limit(0), scratch.new_path(spark, "packed")).collect() == []
+
+
+def test_shards_hold_position_ids(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(k, " ".join(rng.choice(["the", "x" * 40, "ñ"]) for _ in range(rng.randrange(1, 90)))) for k in range(40)], "doc_id long, text string")
+    found = packing.write_shards(df, scratch.new_path(spark, "packed"), length=64, block_tokens=1500).collect()
+    assert max(r.n_segments for r in found) > 1
+    for r in found:
+        with open(r.shard.removeprefix("file:"), "rb") as f:
+            f.seek(r.positions_offset)
+            places = f.read(128)
+        wanted = [k for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:]) for k in range(b - a)]
+        assert np.frombuffer(places, "<u2").tolist() == wanted + [0] * (64 - r.n_tokens)
+        assert hashlib.sha256(places).hexdigest() == r.positions_sha256

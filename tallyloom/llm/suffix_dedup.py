@@ -8,8 +8,9 @@ lowest, so equal windows have the same one and meet under its hash:
    within each task and then by a minimum for each hash, so that no group of copies meets in one task;
 2. minimizers with several different strands are where copies differ, begin or end. The bytes of each different strand are
    fetched, and blocks of whole minimizer groups get a suffix array (``suffix_groups``), in which equal windows are
-   neighbours; all but the first of each run go. Very large groups are dealt out in pieces by the text that equal windows
-   share; equal pieces are settled first, in a task before the dealing by their bytes and after it by their hash;
+   neighbours; all but the first of each run go. The strands are sorted in pieces of PIECE windows, in which the CORE bytes
+   that all these windows share stand as one symbol, the same for the same bytes. Very large groups are dealt out in pieces by
+   that text; equal pieces are settled first, in a task before the dealing by their bytes and after it by their hash;
 3. what goes is gathered by document and cut out.
 """
 
@@ -26,20 +27,25 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import words
 from tallyloom.llm.scratch import materialize, text_batches, unused
-from tallyloom.llm.suffix_groups import repeated_runs
+from tallyloom.llm.suffix_groups import symbol_runs
 
 #: Bytes of a window and of the k-grams of which each window has one as its minimizer.
 LENGTH, GRAM = 100, 32
 #: Windows in a piece of a strand; strands of a minimizer from which its pieces are dealt out one by one; bytes of strands that are sorted together.
 PIECE, MANY, BLOCK_BYTES = 8, 1000, 1 << 18
+#: Bytes that PIECE successive windows share.
+CORE = LENGTH - PIECE + 1
 #: Different pieces that a task holds before the shuffle.
 HELD = 50_000
 
+#: Values of bytes in a polynomial hash.
+_VALUES = words.constants(256, 5)
+
 
 def _sums(data: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial hash."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(words.constants(256, 5)[data] * words._power_tables(len(data))[0][: len(data)], out=out[1:])
+    np.cumsum(_VALUES[data] * words._power_tables(len(data))[0][: len(data)], out=out[1:])
     return out
 
 
@@ -188,7 +194,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not w["many"]:
                     out.append((w["g"], i, w["mark"], body))
                     continue
-                key, _, lo, n = _cut(np.array([w["g"]]), np.frombuffer(body, np.uint8), np.array([0, len(body)]), np.array([lead]))
+                key, _, lo, n, _ = _cut(np.array([w["g"]]), np.frombuffer(body, np.uint8), np.array([0, len(body)]), np.array([lead]))
                 marks = _mark(v, start + lo, lead - lo, n)
                 for k, m, a, c in zip(key.view(np.int64).tolist(), marks.tolist(), lo.tolist(), n.tolist(), strict=True):
                     piece, place = (k, body[a : a + c + LENGTH - 1]), (i, m)
@@ -204,7 +210,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(g: np.ndarray, data: np.ndarray, bounds: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Pieces of strands: key, strand, first window in it, number of windows. Pieces hold windows whose distances to the
+    """Pieces of strands: key, strand, first window in it, number of windows, start of the core in it. Pieces hold windows whose distances to the
     minimizer lie in one run of PIECE; the key is of the bytes that all windows of such a run share."""
     windows = np.diff(bounds) - LENGTH + 1
     first, last = own // PIECE, (own - windows + 1) // PIECE  # runs of distances, from the first window's down
@@ -217,7 +223,20 @@ def _cut(g: np.ndarray, data: np.ndarray, bounds: np.ndarray, own: np.ndarray) -
     # Shared by all windows of a whole run, cut where the strand ends: then the windows there are share more.
     a, b = own[of] - run * PIECE, own[of] - (run * PIECE + PIECE - 1) + LENGTH
     key = words.mix64(_hash(sums, bounds[of] + a, bounds[of] + b) + g.view(np.uint64)[of] * np.uint64(3) + run.astype(np.uint64))
-    return key, of, lo, hi - lo + 1
+    return key, of, lo, hi - lo + 1, a
+
+
+def _contracted(data: np.ndarray, begin: np.ndarray, core: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Symbols of pieces of ``n`` windows that begin there in ``data``: their bytes, and one symbol from 256 on, which names
+    the bytes, for the CORE bytes at ``core``. So a window has PIECE symbols, and equal symbols are equal bytes."""
+    whole, names = data.tobytes(), {}
+    named = np.array([names.setdefault(whole[c : c + CORE], len(names)) for c in core.tolist()], np.int32)
+    sizes = n + PIECE - 1
+    of = np.repeat(np.arange(len(n)), sizes)
+    at = np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of] + begin[of]
+    out = data[at + np.where(at > core[of], CORE - 1, 0)].astype(np.int32)
+    out[at == core[of]] = named + 256
+    return out
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,24 +251,24 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
         data = np.frombuffer(b"".join(bodies), np.uint8)
         own_v, own_start, lead, _ = _unmark(m)
-        key, of, lo, n = _cut(g, data, bounds, lead)
+        key, of, lo, n, core = _cut(g, data, bounds, lead)
+        core += bounds[of]
         sums = _sums(data)
         body = _hash(sums, bounds[of] + lo, bounds[of] + lo + n + LENGTH - 1)
         v, start = own_v[of], own_start[of] + lo
         order = np.lexsort((start, v, d[of], body, key))
-        key, of, lo, n, body, v, start = (c[order] for c in (key, of, lo, n, body, v, start))
+        key, of, lo, n, core, body, v, start = (c[order] for c in (key, of, lo, n, core, body, v, start))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (body[1:] != body[:-1])
         gone = [(d[of[~new]], v[~new], start[~new], start[~new] + n[~new] + LENGTH - 1)]  # whole pieces that an earlier one equals
-        key, of, lo, n, v, start = (c[new] for c in (key, of, lo, n, v, start))
+        key, of, lo, n, core, v, start = (c[new] for c in (key, of, lo, n, core, v, start))
         edge = np.ones(len(key) + 1, bool)
         edge[1:-1] = key[1:] != key[:-1]
         several = ~(edge[:-1] & edge[1:])
         # Within a piece a text can repeat itself, too: then it holds its minimizer again, and that would be nearer.
-        of, lo, n, v, start = (c[several] for c in (of, lo, n, v, start))
+        of, lo, n, core, v, start = (c[several] for c in (of, lo, n, core, v, start))
         if len(of):
-            texts = [bodies[k][a : a + c + LENGTH - 1] for k, a, c in zip(of.tolist(), lo.tolist(), n.tolist(), strict=True)]
-            piece, at, run = repeated_runs(texts, LENGTH)
+            piece, at, run = symbol_runs(_contracted(data, bounds[of] + lo, core, n), n + PIECE - 1, PIECE)
             begin = start[piece] + at
             order = np.lexsort((begin, v[piece], d[of[piece]], run))
             piece, begin, run = piece[order], begin[order], run[order]
@@ -280,10 +299,17 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _without(data: bytes, ranges: list[dict] | None) -> tuple[bytes, int, int]:
+def _ranges(column: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
+    """Of each row its ranges (lo, hi); null has none."""
+    pairs = list(zip(*(c.to_pylist() for c in column.flatten().flatten()), strict=True))
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy()).tolist()
+    return (pairs[a:b] for a, b in zip([0, *ends], ends))
+
+
+def _without(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """What is left of a text without these ranges [lo, hi), how many bytes go, and in how many runs."""
     kept, at, removed, spans = [], 0, 0, 0
-    for lo, hi in sorted((r["lo"], r["hi"]) for r in ranges or ()):
+    for lo, hi in sorted(ranges):
         if lo > at or not spans:
             kept.append(data[at:lo])
             spans, removed, at = spans + 1, removed + hi - lo, hi
@@ -297,7 +323,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, ranges) to the text without those bytes and its figures."""
     for batch in batches:
         out = []
-        for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, ranges in zip(batch.column(1).to_pylist(), _ranges(batch.column(2)), strict=True):
             data = text.encode()
             rest, removed, spans = _without(data, ranges)
             out.append((len(data), removed, spans, hashlib.sha256(rest).hexdigest(), rest))
@@ -363,7 +389,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         at = names.index(text_col)
         for batch in batches:
             texts = []
-            for text, ranges in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for text, ranges in zip(batch.column(at).to_pylist(), _ranges(batch.column(batch.num_columns - 1)), strict=True):
                 texts.append(text if not ranges else _without(text.encode(), ranges)[0].decode("utf-8", "ignore"))
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, pa.string())

@@ -103,12 +103,15 @@ def _emitted(order: list[int], group: list[int], prev: list[int], ends: int) ->
 def suffix_array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order, as places in the strings laid out with one place before each and one after the last; and
     where each string starts there. A string's end is less than any byte; equal suffixes are in the strings' order."""
-    sizes = np.array([len(s) for s in strings], np.int64)
-    symbols = np.zeros(int(sizes.sum()) + len(strings) + 1, np.int16)
+    return _sorted(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings], np.int64))
+
+
+def _sorted(body: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for strings of these sizes that follow each other in ``body``, of any symbols from 0."""
+    symbols = np.zeros(len(body) + len(sizes) + 1, np.int32)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1] + 1
-    body = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
-    symbols[np.arange(len(body)) + np.repeat(np.arange(len(strings)) + 1, sizes)] = body
-    ends = len(strings) + 1
+    symbols[np.arange(len(body)) + np.repeat(np.arange(len(sizes)) + 1, sizes)] = body.astype(np.int32) + 1
+    ends = len(sizes) + 1
     if not len(body):
         return np.zeros(0, np.int64), starts
     return np.array(_emitted(*_grouped(symbols, ends), ends), np.int64)[ends:], starts
@@ -117,15 +120,18 @@ def suffix_array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def repeated_runs(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every start of ``length`` bytes within a string, in suffix order: its string, its start there, and the number of
     its run of equal ones."""
-    order, starts = suffix_array(strings)
-    sizes = np.array([len(s) for s in strings], np.int64)
+    return symbol_runs(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings], np.int64), length)
+
+
+def symbol_runs(text: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``repeated_runs`` for strings of these sizes that follow each other in ``text``, of any symbols from 0."""
+    order, starts = _sorted(text, sizes)
     of = np.searchsorted(starts, order, "right") - 1
     at = order - starts[of]
     full = sizes[of] - at >= length
     of, at = of[full], at[full]
     if not len(of):
         return of, at, of
-    text = np.frombuffer(b"".join(strings), np.uint8)
     begin = (np.cumsum(sizes) - sizes)[of] + at
     new = np.ones(len(of), bool)
     for a in range(0, len(of) - 1, 1 << 14):

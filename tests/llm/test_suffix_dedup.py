@@ -84,3 +84,32 @@ def test_equal_pieces_are_settled_before_the_shuffle():
     assert gone == {(i, m) for i in (5, 9) for _, m in kept}
     ranges = [r for b in suffix_dedup._resolve(iter([pa.RecordBatch.from_pylist(sorted(out, key=lambda r: r["key"]), schema=pa.schema([("key", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("body", pa.binary())]))])) for r in b.to_pylist()]
     assert {i: {b for r in ranges if r["id"] == i for b in range(r["lo"], r["hi"])} for i in (3, 5, 9)} == {3: set(), 5: {*range(len(text))}, 9: {*range(len(text))}}
+
+
+def test_contracted_windows_are_equal_where_their_bytes_are():
+    length, most = suffix_dedup.LENGTH, suffix_dedup.PIECE
+    rng = random.Random(9)
+    base = bytes(rng.choice(b"etaoin ") for _ in range(400))
+    texts = [base[rng.randrange(120) : 400 - rng.randrange(120)] for _ in range(20)] + [b"ab" * 80, b"x" * 150]
+    for k in range(0, 20, 3):
+        at = rng.randrange(len(texts[k]))
+        texts[k] = texts[k][:at] + b"z" + texts[k][at + 1 :]
+    g, bodies, lead = [], [], []
+    for text in texts:
+        h, _, start, count, own = suffix_dedup.strands(np.frombuffer(text, np.uint8))
+        g += h.view(np.int64).tolist()
+        bodies += [text[s : s + c + length - 1] for s, c in zip(start, count)]
+        lead += (own - start).tolist()
+    data, bounds = np.frombuffer(b"".join(bodies), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
+    _, of, lo, n, core = suffix_dedup._cut(np.array(g), data, bounds, np.array(lead))
+    assert n.sum() == sum(len(b) - length + 1 for b in bodies)
+    begin = bounds[of] + lo
+    symbols = suffix_dedup._contracted(data, begin, bounds[of] + core, n)
+    # 2 * PIECE - 1 symbols for a piece at most, where it has LENGTH + PIECE - 1 bytes.
+    assert len(symbols) == (n + most - 1).sum()
+    first = np.cumsum(n + most - 1) - (n + most - 1)
+    pairs = {(bytes(data[b + k : b + k + length]), tuple(symbols[f + k : f + k + most].tolist())) for b, f, c in zip(begin.tolist(), first.tolist(), n.tolist()) for k in range(c)}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) > 300
+    piece, at, run = suffix_groups.symbol_runs(symbols, n + most - 1, most)
+    assert sorted(zip(piece.tolist(), at.tolist())) == [(p, k) for p, c in enumerate(n.tolist()) for k in range(c)]
+    assert len({(r, bytes(data[begin[p] + a : begin[p] + a + length])) for p, a, r in zip(piece.tolist(), at.tolist(), run.tolist())}) == run.max() + 1 == len(pairs)

@@ -90,6 +90,8 @@ class Vocabulary:
             while self.pair_at[slot] >= 0:
                 slot = (slot + 1) % self.slots
             self.pair_at[slot], self.rank_at[slot] = pair, rank
+        self.byte_ranks = np.array([[self.ranks.get((x, u), NEVER) for u in self.byte_ids] for x in self.byte_ids], np.int32)
+        self.byte_array, self.made_array = np.array(self.byte_ids, np.int64), np.array(self.made, np.int64)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def slot(self, pairs: np.ndarray) -> np.ndarray:
@@ -163,12 +165,13 @@ def merged_together(vocab: Vocabulary, pieces: Sequence[bytes]) -> list[bytes]:
     n, width = len(pieces), int(sizes.max()) + 1
     # A row's cells; the last one is free in each, and stands for what is left of the first and right of the last id.
     matrix = np.full((n, width), vocab.end, np.int64)
-    matrix[np.arange(width) < sizes[:, None]] = np.array(vocab.byte_ids, np.int64)[np.frombuffer(b"".join(pieces), np.uint8)]
+    data, cells = np.frombuffer(b"".join(pieces), np.uint8), np.flatnonzero(np.arange(width) < sizes[:, None])
     ranks = np.full((n, width), NEVER)
-    ranks[:, :-1] = vocab.ranks_of(matrix[:, :-1].ravel(), matrix[:, 1:].ravel()).reshape(n, width - 1)
-    ids, made = matrix.reshape(-1), np.array(vocab.made, np.int64)
+    ids, made, start = matrix.reshape(-1), vocab.made_array, np.arange(n) * width
+    ids[cells] = vocab.byte_array[data]
+    ranks.reshape(-1)[cells[:-1]] = vocab.byte_ranks[data[:-1], data[1:]]
+    ranks.reshape(-1)[start + sizes - 1] = NEVER
     after, before = np.arange(1, n * width + 1), np.arange(-1, n * width - 1)
-    start = np.arange(n) * width
     before[start] = start + width - 1
     while True:
         at = ranks.argmin(1)
